@@ -1 +1,9 @@
 """Payment-behaviour analytics expressed as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so that workers need no
+# copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from railwatch.operators import (
     cases,
+    density,
     drift,
     exposure,
+    forest,
     identity,
     lookup,
     operations,
@@ -20,6 +22,7 @@ from railwatch.operators import (
     scoring,
     snapshots,
     trends,
+    vectors,
 )
 from railwatch.session import stored
 from railwatch.plans.testdata import AS_OF, DETECTED_AT, canonical_events, derived_reviews
@@ -69,6 +72,25 @@ class Workbench:
             }
         )
 
+    @cached_property
+    def forest_scores(self) -> DataFrame:
+        rows = stored(vectors.forest_vectors(self.snapshots), "forest_vectors")
+        models = stored(forest.forest_models(forest.tree_samples(rows)), "forest_models")
+        scores = stored(forest.forest_scores(rows, models), "forest_raw")
+        return stored(forest.rescaled(scores), "forest_scores")
+
+    @cached_property
+    def clustered(self) -> DataFrame:
+        labels = density.density_clusters(vectors.cluster_vectors(self.snapshots))
+        joined = self.snapshots.join(labels.select("snapshot_id", "cluster_id"), "snapshot_id")
+        return stored(density.with_cluster_change(joined), "clustered")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Snapshots with all three signals and the final score."""
+        forest_score = self.forest_scores.select("snapshot_id", "isolation_forest_score")
+        return scoring.with_final_score(self.clustered.join(forest_score, "snapshot_id", "left"))
+
     @cached_property
     def beneficiaries(self) -> DataFrame:
         return stored(drift.with_funnel_drift(snapshots.beneficiary_snapshots(self.events)), "beneficiaries")
