@@ -183,7 +183,8 @@ CTES = {
     "case0": """SELECT tenant_bank_id, case_code, category, payment_rail, opened_at, sum(exposure) AS current_exposure, count(DISTINCT transaction_id) AS txns,
  count(DISTINCT party_id) AS parties, count(*) AS contributing_alerts_count,
  arg_max(struct_pack(s := severity_score, p := priority_level, i := source_id), (severity_score, -epoch_us(detected_at), source_id)) AS worst,
- coalesce(min(CASE WHEN source_type = 'ANOMALY_SNAPSHOT' THEN detected_at WHEN transaction_id IS NOT NULL THEN event_ts END), opened_at) AS anchor_ts FROM alert GROUP BY ALL""",
+ coalesce(min(CASE WHEN source_type = 'ANOMALY_SNAPSHOT' THEN detected_at WHEN transaction_id IS NOT NULL THEN event_ts END), opened_at) AS anchor_ts FROM alert
+ GROUP BY tenant_bank_id, case_code, category, payment_rail, opened_at""",
     "kase": f"""SELECT *, CASE WHEN txns > 0 THEN txns ELSE greatest(parties, contributing_alerts_count) END AS transactions_affected, worst.s AS severity_score,
  worst.p AS priority_level, worst.i AS worst_source_id, concat_ws(' ', payment_rail, {_LABEL.format('category')}, 'Cluster') AS title FROM case0""",
     "anchor": """SELECT tenant_bank_id, issue_type AS category, first_rail AS payment_rail, CASE WHEN issue_type LIKE '%SPIKE' THEN window_end ELSE first_ts END AS ts FROM found

@@ -852,9 +852,9 @@ def priority_distribution(w: Workbench) -> DataFrame:
  UNION SELECT 'reconciliation_break', tenant_bank_id, break_id, party_id FROM brk UNION SELECT 'fraud_anomaly', tenant_bank_id, snapshot_id, party_id FROM banded),
  pb AS (SELECT tenant_bank_id, party_id, sum(abs(coalesce(variance_amount, amount))) AS b FROM brk GROUP BY ALL), pf AS (SELECT tenant_bank_id, party_id, sum(amount_total) AS f FROM flagged GROUP BY ALL),
  other AS (SELECT signal_type, tenant_bank_id, reference_id, sum(coalesce(b, 0)) AS rec, sum(coalesce(f, 0)) AS fraud FROM involved LEFT JOIN pb USING (tenant_bank_id, party_id) LEFT JOIN pf USING (tenant_bank_id, party_id) GROUP BY ALL),
- totals AS (SELECT tenant_bank_id, count(*) AS at, sum(amount) AS aa, (SELECT sum(abs(coalesce(variance_amount, amount))) FROM brk WHERE brk.tenant_bank_id = ev.tenant_bank_id) AS ab, (SELECT sum(amount_total) FROM flagged WHERE flagged.tenant_bank_id = ev.tenant_bank_id) AS af FROM ev GROUP BY tenant_bank_id)
- SELECT signal_type, tenant_bank_id, reference_id, n AS payments_affected, round_even(least(n / at, 1) * 100, 1) AS payments_affected_percent, round_even(v, 2) AS payment_value, round_even(least(v / aa, 1) * 100, 1) AS payment_value_percent,
- round_even(coalesce(rec, 0), 2) AS reconciliation_exposure, round_even(least(coalesce(rec, 0) / ab, 1) * 100, 1) AS reconciliation_exposure_percent, round_even(x, 2) AS fraud_exposure, round_even(least(x / af, 1) * 100, 1) AS fraud_exposure_percent
+ totals AS (SELECT tenant_bank_id, count(*) AS all_n, sum(amount) AS all_v, (SELECT sum(abs(coalesce(variance_amount, amount))) FROM brk WHERE brk.tenant_bank_id = ev.tenant_bank_id) AS all_b, (SELECT sum(amount_total) FROM flagged WHERE flagged.tenant_bank_id = ev.tenant_bank_id) AS all_f FROM ev GROUP BY tenant_bank_id)
+ SELECT signal_type, tenant_bank_id, reference_id, n AS payments_affected, round_even(least(n / all_n, 1) * 100, 1) AS payments_affected_percent, round_even(v, 2) AS payment_value, round_even(least(v / all_v, 1) * 100, 1) AS payment_value_percent,
+ round_even(coalesce(rec, 0), 2) AS reconciliation_exposure, round_even(least(coalesce(rec, 0) / all_b, 1) * 100, 1) AS reconciliation_exposure_percent, round_even(x, 2) AS fraud_exposure, round_even(least(x / all_f, 1) * 100, 1) AS fraud_exposure_percent
  FROM (SELECT *, CASE WHEN signal_type = 'fraud_anomaly' THEN v ELSE 0 END + coalesce(fraud, 0) - own AS x FROM incident LEFT JOIN other USING (signal_type, tenant_bank_id, reference_id) JOIN totals USING (tenant_bank_id))"""
 )
 def incident_impact(w: Workbench) -> DataFrame:
