@@ -171,11 +171,17 @@ def median(df: DataFrame, group: Sequence[str], value: str, output: str, bucket:
 
 
 def at_index_fraction(
-    df: DataFrame, group: Sequence[str], value: str, fraction: float, output: str, bucket: Column | None = None
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    fraction: float,
+    output: str,
+    bucket: Column | None = None,
+    min_rows: int = 1,
 ) -> DataFrame:
-    """The value at position ``min(n - 1, int(n * fraction))`` of each group."""
+    """The value at position ``min(n - 1, int(n * fraction))`` of each group of at least ``min_rows``."""
     rows = F.col("group_rows")
-    position = F.least(rows - 1, F.floor(rows * F.lit(fraction)))
+    position = F.when(rows >= min_rows, F.least(rows - 1, F.floor(rows * F.lit(fraction))))
     return order_statistics(df, group, value, {output: position}, bucket)
 
 

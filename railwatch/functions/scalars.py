@@ -89,9 +89,10 @@ def week_start(instant: Column) -> Column:
 
 def local_week_start(text: Column) -> Column:
     """Monday 00:00 on the text's own wall clock, as an instant."""
-    wall = wall_clock(text)
-    offset = F.unix_micros(wall) - F.unix_micros(parse_iso(text))
-    return F.timestamp_micros(F.unix_micros(week_start(wall)) - offset)
+    instant, wall = parse_iso(text), wall_clock(text)
+    offset = F.unix_micros(wall) - F.unix_micros(instant)
+    zoned = F.timestamp_micros(F.unix_micros(week_start(wall)) - offset)
+    return F.when(text.endswith("Z"), week_start(instant)).otherwise(zoned)
 
 
 def map_value_by_suffix(entries: Column, suffix: str) -> Column:

@@ -18,6 +18,7 @@ from railwatch.schema import INDIVIDUAL, MERCHANT, TO_DATE, WEEKLY
 
 MIN_WEEKLY_EVENTS = 15
 TEST_HOLDOUT = 0.2
+MIN_SPLIT_EVENTS = 5
 NEAR_THRESHOLD = (9000.0, 10000.0)
 
 # A window with more rows than this gets its median from the ranked buckets
@@ -49,11 +50,10 @@ def undated_count(events: DataFrame) -> DataFrame:
 
 def split_cutoffs(dated: DataFrame, holdout: float = TEST_HOLDOUT) -> DataFrame:
     """Per tenant, the instant that starts the held-out tail; none below five events."""
-    cutoffs = ranks.at_index_fraction(
-        dated, ["tenant_bank_id"], "occurred_ts", 1 - holdout, "cutoff", ranks.day_bucket(F.col("occurred_ts"))
+    day = ranks.day_bucket(F.col("occurred_ts"))
+    return ranks.at_index_fraction(
+        dated, ["tenant_bank_id"], "occurred_ts", 1 - holdout, "cutoff", day, min_rows=MIN_SPLIT_EVENTS
     )
-    enough = dated.groupBy("tenant_bank_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").drop("n")
-    return cutoffs.join(enough, "tenant_bank_id", "left_semi")
 
 
 def _window_type(is_low_volume: Column) -> Column:
@@ -92,12 +92,15 @@ def entity_snapshots(
     marked = windowed.withColumn("window_id", _window_id()).join(
         F.broadcast(hot), [*PARTY_KEY, "window_type", "window_id"], "left"
     )
-    features = marked.groupBy(*_WINDOW_KEY, "window_id").agg(*_window_features())
+    window = [*PARTY_KEY, "window_type", "window_id"]
+    features = marked.groupBy(*window, "window_start").agg(*_window_features())
+    collected = marked.groupBy(*window).agg(*_collected_features())
     hot_medians = ranks.median(
-        marked.filter("hot"), [*PARTY_KEY, "window_type", "window_id"], "amount", "hot_median"
+        marked.filter("hot"), window, "amount", "hot_median"
     )
     combined = (
-        features.join(hot_medians, [*PARTY_KEY, "window_type", "window_id"], "left")
+        features.join(collected, window)
+        .join(hot_medians, window, "left")
         .withColumn("amount_median", F.coalesce("hot_median", "amount_median"))
         .join(profiles, list(PARTY_KEY))
         .join(split_cutoffs(dated), "tenant_bank_id", "left")
@@ -148,7 +151,6 @@ def _window_features() -> Sequence[Column]:
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum(amount).alias("amount_total"),
         F.avg(amount).alias("amount_avg"),
-        F.median(F.when(F.col("hot").isNull(), amount)).alias("amount_median"),
         F.when(F.count(amount) == 1, 0.0).otherwise(F.stddev_samp(amount)).alias("amount_std"),
         F.when(distinct_payees > 0, distinct_payees).alias("unique_counterparties"),
         F.try_divide(distinct_payees, F.count(payee)).alias("new_counterparty_ratio"),
@@ -157,6 +159,14 @@ def _window_features() -> Sequence[Column]:
         F.avg((response > allowed).cast("double")).alias("timeout_ratio"),
         share_status(non_empty(F.col("format_validation_status")), "FAILED").alias("format_reject_ratio"),
         F.avg(((amount >= low) & (amount < high)).cast("double")).alias("near_threshold_ratio"),
+    ]
+
+
+def _collected_features() -> Sequence[Column]:
+    """Features whose buffers hold values. They are kept apart from the distinct
+    count, which would otherwise carry one such buffer per payee."""
+    return [
+        F.median(F.when(F.col("hot").isNull(), F.col("amount"))).alias("amount_median"),
         F.array_sort(F.collect_set("rail_type")).alias("rails_used"),
     ]
 
