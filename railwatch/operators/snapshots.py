@@ -15,6 +15,7 @@ from railwatch.functions import ranks
 from railwatch.functions.scalars import iso_text, local_week_start, map_value_by_suffix, non_empty, parse_iso
 from railwatch.operators.parties import PARTY_KEY, party_id, party_type, share_status, share_true, with_party
 from railwatch.schema import INDIVIDUAL, MERCHANT, TO_DATE, WEEKLY
+from railwatch.session import stored
 
 MIN_WEEKLY_EVENTS = 15
 TEST_HOLDOUT = 0.2
@@ -26,7 +27,9 @@ NEAR_THRESHOLD = (9000.0, 10000.0)
 # be that large, which bounds the table that is broadcast below.
 HOT_WINDOW_ROWS = 1_000_000
 
-_WINDOW_KEY = (*PARTY_KEY, "window_type", "window_start")
+# Low-volume merchants are broadcast up to this count and joined by salt beyond it.
+BROADCAST_ROWS = 500_000
+SALTS = 64
 
 
 def dated_party_events(events: DataFrame) -> DataFrame:
@@ -56,14 +59,32 @@ def split_cutoffs(dated: DataFrame, holdout: float = TEST_HOLDOUT) -> DataFrame:
     )
 
 
-def _window_type(is_low_volume: Column) -> Column:
-    return F.when((F.col("party_type") == MERCHANT) & is_low_volume.isNull(), WEEKLY).otherwise(TO_DATE)
+def party_weeks(dated: DataFrame) -> DataFrame:
+    """Event counts and first and last times per party and week."""
+    return dated.groupBy(*PARTY_KEY, "week_start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("occurred_ts").alias("first_ts"), F.max("occurred_ts").alias("last_ts")
+    )
+
 
+def _windowed(df: DataFrame, low_volume: DataFrame, low_count: int, salt_by: str) -> DataFrame:
+    """Add the window of each row: its week for an active merchant, else the whole history.
 
-def _windowed(df: DataFrame, low_volume: DataFrame) -> DataFrame:
-    marked = df.join(low_volume, list(PARTY_KEY), "left")
-    typed = marked.withColumn("window_type", _window_type(F.col("low_volume")))
-    return typed.withColumn("window_start", F.when(F.col("window_type") == WEEKLY, F.col("week_start")))
+    Low-volume merchants are marked by a broadcast while they are few. Beyond
+    that both sides are salted, so a party with a third of all events still
+    spreads over many tasks.
+    """
+    if low_count == 0:
+        marked = df.withColumn("low_volume", F.lit(None).cast("boolean"))
+    elif low_count <= BROADCAST_ROWS:
+        marked = df.join(F.broadcast(low_volume), list(PARTY_KEY), "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        dealt = df.withColumn("salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+        marked = dealt.join(low_volume.select("*", salts), [*PARTY_KEY, "salt"], "left").drop("salt")
+    weekly = (F.col("party_type") == MERCHANT) & F.col("low_volume").isNull()
+    typed = marked.withColumn("window_type", F.when(weekly, WEEKLY).otherwise(TO_DATE))
+    windowed = typed.withColumn("window_start", F.when(weekly, F.col("week_start")))
+    return windowed.withColumn("window_id", _window_id()).drop("low_volume")
 
 
 def entity_snapshots(
@@ -71,40 +92,32 @@ def entity_snapshots(
 ) -> DataFrame:
     """Weekly rows for active merchants, one to-date row for every other party."""
     dated = dated_party_events(events)
-    weekly = dated.groupBy(*PARTY_KEY, "week_start").agg(
-        F.count(F.lit(1)).alias("n"), F.min("occurred_ts").alias("first_ts"), F.max("occurred_ts").alias("last_ts")
-    )
+    weekly = stored(party_weeks(dated), "party_weeks")
     profiles = weekly.groupBy(*PARTY_KEY).agg(
         F.sum("n").alias("party_rows"), F.min("first_ts").alias("first_seen"), F.max("last_ts").alias("last_seen")
     )
     low_volume = profiles.filter(
         (F.col("party_type") == MERCHANT) & (F.col("party_rows") < min_weekly_events)
     ).select(*PARTY_KEY, F.lit(True).alias("low_volume"))
+    low_count = low_volume.count()
+    windowed = _windowed(dated, low_volume, low_count, "transaction_id")
 
-    windowed = _windowed(dated, low_volume)
-    hot = (
-        _windowed(weekly, low_volume)
-        .groupBy(*_WINDOW_KEY)
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") > hot_window_rows)
-        .select(*PARTY_KEY, "window_type", _window_id(), F.lit(True).alias("hot"))
-    )
-    marked = windowed.withColumn("window_id", _window_id()).join(
-        F.broadcast(hot), [*PARTY_KEY, "window_type", "window_id"], "left"
-    )
     window = [*PARTY_KEY, "window_type", "window_id"]
+    sizes = _windowed(weekly, low_volume, low_count, "week_start").groupBy(*window).agg(F.sum("n").alias("n"))
+    hot = sizes.filter(F.col("n") > hot_window_rows).select(*window, F.lit(True).alias("hot"))
+    if hot.isEmpty():
+        marked = windowed.withColumn("hot", F.lit(None).cast("boolean"))
+        hot_medians = None
+    else:
+        marked = windowed.join(F.broadcast(hot), window, "left")
+        hot_medians = ranks.median(marked.filter("hot"), window, "amount", "hot_median")
     features = marked.groupBy(*window, "window_start").agg(*_window_features())
-    collected = marked.groupBy(*window).agg(*_collected_features())
-    hot_medians = ranks.median(
-        marked.filter("hot"), window, "amount", "hot_median"
-    )
-    combined = (
-        features.join(collected, window)
-        .join(hot_medians, window, "left")
-        .withColumn("amount_median", F.coalesce("hot_median", "amount_median"))
-        .join(profiles, list(PARTY_KEY))
-        .join(split_cutoffs(dated), "tenant_bank_id", "left")
-    )
+    combined = features.join(marked.groupBy(*window).agg(*_collected_features()), window)
+    if hot_medians is not None:
+        combined = combined.join(hot_medians, window, "left").withColumn(
+            "amount_median", F.coalesce("hot_median", "amount_median")
+        )
+    combined = combined.join(profiles, list(PARTY_KEY)).join(split_cutoffs(dated), "tenant_bank_id", "left")
     weekly_row = F.col("window_type") == WEEKLY
     window_end = F.when(weekly_row, F.col("window_start") + F.expr("INTERVAL 7 DAYS")).otherwise(F.col("last_seen"))
     held_out = weekly_row & (F.col("window_start") >= F.col("cutoff"))

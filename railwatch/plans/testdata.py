@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from railwatch.functions.scalars import labelled
 from railwatch.schema import CONFIRMED, DISMISSED
-from railwatch.session import prepare
+from railwatch.session import prepare, spread
 
 AS_OF = dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc)
 DETECTED_AT = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
@@ -36,9 +36,8 @@ def _with_parts(raw: DataFrame) -> DataFrame:
     )
 
 
-def canonical_events(spark: SparkSession, sf_dir: str, resolved: bool = True) -> DataFrame:
-    """Events of the fixture; without ``resolved`` the party ids are still null."""
-    e = _with_parts(raw_events(spark, sf_dir))
+def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _with_parts(spread(raw_events(spark, sf_dir)))
     k, event_id, user = F.col("k"), F.col("event_id"), F.col("user_id").cast("string")
     merchant, individual = F.col("cohort") < 3, F.col("cohort") >= 3
     retry = (k % 20) == 3
@@ -77,8 +76,8 @@ def canonical_events(spark: SparkSession, sf_dir: str, resolved: bool = True) ->
         "risk_flags": flags,
         "source_merchant_id": party(merchant, "M"),
         "source_individual_id": party(individual | (k % 25 == 0), "I"),
-        "merchant_id": party(merchant, "MER-") if resolved else text,
-        "individual_id": party(individual, "IND-") if resolved else text,
+        "merchant_id": party(merchant, "MER-"),
+        "individual_id": party(individual, "IND-"),
         "processor_name": text,
         "onboarded_by": text,
         "is_retry": retry,

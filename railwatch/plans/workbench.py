@@ -40,11 +40,13 @@ class Workbench:
 
     @cached_property
     def events(self) -> DataFrame:
-        return canonical_events(self.spark, self.sf_dir)
+        return stored(canonical_events(self.spark, self.sf_dir), "events")
 
     @cached_property
     def unresolved(self) -> DataFrame:
-        return canonical_events(self.spark, self.sf_dir, resolved=False)
+        """The same events before their parties are resolved."""
+        no_id = F.lit(None).cast("string")
+        return self.events.withColumns({"merchant_id": no_id, "individual_id": no_id})
 
     @cached_property
     def tenants(self) -> DataFrame:

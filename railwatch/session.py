@@ -35,6 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _fallback_folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer splits than the cluster has cores.
+
+    A large input already has more splits than that and is left alone, so this
+    only ever shuffles small data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a stage table to the shared folder and read it back.
 

@@ -50,6 +50,14 @@ def test_large_windows_take_the_ranked_median(make_events):
     assert plain == ranked
 
 
+def test_many_low_volume_merchants_are_joined_by_salt(make_events, monkeypatch):
+    events = make_events(*busy(), *busy("MER-2", weeks=2), *busy("MER-3", weeks=1))
+    plain = by(snapshots.entity_snapshots(events), "snapshot_id")
+    monkeypatch.setattr(snapshots, "BROADCAST_ROWS", 0)
+    assert by(snapshots.entity_snapshots(events), "snapshot_id") == plain
+    assert {r["window_type"] for r in plain.values()} == {"WEEKLY", "TO_DATE"}
+
+
 def test_risk_verdicts_do_not_leak(make_events):
     quiet = by(snapshots.entity_snapshots(make_events(*busy())), "snapshot_id")
     flagged = make_events(*busy(new_payee_risk_flag=True, structuring_flag=True, fraud_risk_details={"velocity_score": "9"}))
