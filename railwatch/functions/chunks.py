@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railwatch.functions.joins import join_small
+
 CHUNK_ROWS = 100_000
 
 
@@ -28,7 +30,7 @@ def map_chunks(
     """
     sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("__chunks"))
     chunk = F.pmod(F.xxhash64(key), F.col("__chunks")).cast("int").alias("__chunk")
-    cut = rows.join(sizes, list(group)).select(*rows.columns, chunk)
+    cut = join_small(rows, sizes, group).select(*rows.columns, chunk)
     every = F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__chunk")
     repeated = models.join(sizes, list(group)).select(*models.columns, every)
     keys = [*group, "__chunk"]

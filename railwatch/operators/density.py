@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railwatch.functions.chunks import map_chunks
+from railwatch.functions.joins import join_small
 from railwatch.operators.hierarchy import flat_clusters
 from railwatch.operators.vectors import SEGMENT
 from railwatch.schema import WEEKLY
@@ -40,7 +41,7 @@ def distinct_points(vectors: DataFrame) -> DataFrame:
     refused = F.raise_error(F.concat(F.lit("too many distinct points to cut one tree: "), *SEGMENT))
     size = F.when(F.col("n") > MAX_TREE_POINTS, refused.cast("long")).otherwise(F.col("n"))
     needed = F.least(F.lit(MIN_CLUSTER_SIZE), F.col("rows")).cast("int").alias("needed")
-    return points.join(sizes, list(SEGMENT)).select(*SEGMENT, "point_id", "x", "weight", size.alias("n"), needed)
+    return join_small(points, sizes, SEGMENT).select(*SEGMENT, "point_id", "x", "weight", size.alias("n"), needed)
 
 
 def _pivots(points: DataFrame, block_rows: int) -> DataFrame:
@@ -86,7 +87,7 @@ def placed_points(points: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[Data
     celled = map_chunks(points, pivots, SEGMENT, "point_id", _nearest_cell, schema)
     sizes = celled.groupBy(*SEGMENT, "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(F.lit(7), "point_id"), F.col("parts")).cast("int")
-    placed = celled.join(sizes, [*SEGMENT, "cell"]).withColumn("part", part)
+    placed = join_small(celled, sizes, [*SEGMENT, "cell"]).withColumn("part", part)
     return stored(placed, "points"), pivots
 
 
@@ -278,10 +279,12 @@ def spanning_edges(edges: DataFrame, points: DataFrame) -> DataFrame:
     """
     counts = edges.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("edges"))
     sizes = points.groupBy(*SEGMENT).agg((F.count(F.lit(1)) - 1).alias("tree"))
-    spare = sizes.join(counts, list(SEGMENT)).filter("edges > tree").select(*SEGMENT)
-    trees = [edges.join(spare, list(SEGMENT), "left_anti")]
-    left = stored(edges.join(spare, list(SEGMENT), "left_semi"), "left")
-    members = points.join(spare, list(SEGMENT), "left_semi").select(
+    spare = stored(sizes.join(counts, list(SEGMENT)).filter("edges > tree").select(*SEGMENT), "spare")
+    if spare.isEmpty():
+        return edges.select(*SEGMENT, "u", "v", "w")
+    trees = [join_small(edges, spare, SEGMENT, "left_anti")]
+    left = stored(join_small(edges, spare, SEGMENT, "left_semi"), "left")
+    members = join_small(points, spare, SEGMENT, "left_semi").select(
         *SEGMENT, "point_id", F.col("point_id").alias("component")
     )
     while not left.isEmpty():

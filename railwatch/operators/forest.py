@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from railwatch.functions import ranks
 from railwatch.functions.chunks import map_chunks
+from railwatch.functions.joins import join_small
 from railwatch.functions.scalars import observation_tier
 from railwatch.operators.vectors import SEGMENT, training_rows
 
@@ -64,7 +65,7 @@ def tree_samples(vectors: DataFrame, trees: int = TREES, sample_rows: int = SAMP
         hashed = F.xxhash64(F.lit(seed), tree, "snapshot_id")
         return F.shiftrightunsigned(hashed, 11) / float(2**53)
 
-    joined = training.join(sizes, list(SEGMENT)).withColumn("share", share)
+    joined = join_small(training, sizes, SEGMENT).withColumn("share", share)
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: fraction(t) < F.col("share"))
     drawn = joined.select(*SEGMENT, "snapshot_id", "x", F.explode(chosen).alias("tree"))
     order = Window.partitionBy(*SEGMENT, "tree").orderBy(fraction(F.col("tree")), "snapshot_id")
@@ -160,7 +161,7 @@ def rescaled(scores: DataFrame) -> DataFrame:
         scores, list(SEGMENT), "anomaly", "snapshot_id", "position", ranks.unit_bucket(F.col("anomaly"))
     )
     score = F.when(F.col("n") > 1, 100.0 * F.col("position") / (F.col("n") - 1)).otherwise(0.0)
-    return ranked.join(sizes, list(SEGMENT)).select("snapshot_id", *SEGMENT, score.alias("isolation_forest_score"))
+    return join_small(ranked, sizes, SEGMENT).select("snapshot_id", *SEGMENT, score.alias("isolation_forest_score"))
 
 
 def score_summary(snapshots: DataFrame, scores: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railwatch.functions.joins import join_small
 from railwatch.functions.scalars import percent_share
 from railwatch.operators.lookup import issue_events
 from railwatch.schema import FLAGGED_BANDS, FRAUD, FUNNEL, OPERATIONAL, RECONCILIATION, SPIKE_ISSUES
@@ -115,7 +116,9 @@ def incident_impact(
         _incident_totals(issues_with_events, breaks_with_events, snapshots, beneficiaries)
         .join(other, list(_INCIDENT), "left")
         .join(own_fraud, list(_INCIDENT), "left")
-        .join(totals, "tenant_bank_id", "left")
+    )
+    sized = (
+        join_small(sized, totals, ["tenant_bank_id"], "left")
         .fillna(0.0, ["reconciliation_exposure", "party_fraud", "own_flagged", "all_amount", "all_breaks", "all_fraud"])
     )
     own = F.when(F.col("signal_type") == FRAUD, F.col("payment_value")).otherwise(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railwatch.functions import ranks
+from railwatch.functions.joins import join_small
 from railwatch.functions.scalars import anomaly_band, cluster_signal
 from railwatch.schema import FLAGGED_BANDS, FUNNEL_THRESHOLD
 
@@ -58,7 +59,7 @@ def tag_thresholds(snapshots: DataFrame) -> DataFrame:
 
 def with_tags(snapshots: DataFrame) -> DataFrame:
     """Add ``categories``: the tags whose feature reaches a positive p75 of its segment."""
-    joined = snapshots.join(tag_thresholds(snapshots), list(SEGMENT), "left")
+    joined = join_small(snapshots, tag_thresholds(snapshots), SEGMENT, "left")
     tags = [
         F.when((F.col(f"p75_{c}") > 0) & (F.col(c) >= F.col(f"p75_{c}")), F.lit(label))
         for label, c in TAG_FEATURES.items()

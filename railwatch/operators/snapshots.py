@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railwatch.functions import ranks
+from railwatch.functions.joins import join_small
 from railwatch.functions.scalars import iso_text, local_week_start, map_value_by_suffix, non_empty, parse_iso
 from railwatch.operators.parties import PARTY_KEY, party_id, party_type, share_status, share_true, with_party
 from railwatch.schema import INDIVIDUAL, MERCHANT, TO_DATE, WEEKLY
@@ -117,7 +118,8 @@ def entity_snapshots(
         combined = combined.join(hot_medians, window, "left").withColumn(
             "amount_median", F.coalesce("hot_median", "amount_median")
         )
-    combined = combined.join(profiles, list(PARTY_KEY)).join(split_cutoffs(dated), "tenant_bank_id", "left")
+    combined = combined.join(profiles, list(PARTY_KEY))
+    combined = join_small(combined, split_cutoffs(dated), ["tenant_bank_id"], "left")
     weekly_row = F.col("window_type") == WEEKLY
     window_end = F.when(weekly_row, F.col("window_start") + F.expr("INTERVAL 7 DAYS")).otherwise(F.col("last_seen"))
     held_out = weekly_row & (F.col("window_start") >= F.col("cutoff"))

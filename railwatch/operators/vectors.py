@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railwatch.functions import ranks
+from railwatch.functions.joins import join_small
 
 SEGMENT = ("tenant_bank_id", "segment")
 
@@ -47,14 +48,14 @@ def segment_medians(snapshots: DataFrame, features: Sequence[str]) -> DataFrame:
 def training_rows(snapshots: DataFrame) -> DataFrame:
     """The train split of each segment, or all of a segment that has none."""
     has_train = snapshots.groupBy(*SEGMENT).agg(F.bool_or(F.col("split") == "train").alias("has_train"))
-    marked = snapshots.join(has_train, list(SEGMENT))
+    marked = join_small(snapshots, has_train, SEGMENT)
     return marked.filter((F.col("split") == "train") | ~F.col("has_train")).drop("has_train")
 
 
 def imputed(snapshots: DataFrame, features: Sequence[str], medians: DataFrame) -> DataFrame:
     """Snapshot id, segment, split and the vector ``x`` with nulls replaced by medians."""
     filled = [F.coalesce(F.col(f).cast("double"), F.col(f"median_{f}")) for f in features]
-    return snapshots.join(medians, list(SEGMENT)).select("snapshot_id", *SEGMENT, "split", F.array(*filled).alias("x"))
+    return join_small(snapshots, medians, SEGMENT).select("snapshot_id", *SEGMENT, "split", F.array(*filled).alias("x"))
 
 
 def standardised(vectors: DataFrame, width: int) -> DataFrame:
@@ -68,7 +69,7 @@ def standardised(vectors: DataFrame, width: int) -> DataFrame:
         F.when(F.col("flat")[i], 0.0).otherwise((F.col("x")[i] - F.col("mean")[i]) / F.col("deviation")[i])
         for i in range(width)
     ]
-    return vectors.join(moments, list(SEGMENT)).select("snapshot_id", *SEGMENT, F.array(*scaled).alias("x"))
+    return join_small(vectors, moments, SEGMENT).select("snapshot_id", *SEGMENT, F.array(*scaled).alias("x"))
 
 
 def _components(rows: pd.DataFrame, width: int, share: float) -> pd.DataFrame:
@@ -105,7 +106,7 @@ def projected(scaled: DataFrame, width: int, share: float = PCA_SHARE) -> DataFr
         "components",
         lambda c: F.aggregate(F.zip_with(c, "x", lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v),
     )
-    return scaled.join(components, list(SEGMENT)).select("snapshot_id", *SEGMENT, dot.alias("x"))
+    return join_small(scaled, components, SEGMENT).select("snapshot_id", *SEGMENT, dot.alias("x"))
 
 
 def cluster_vectors(snapshots: DataFrame, include_structuring: bool = False) -> DataFrame:
