@@ -50,19 +50,24 @@ def share_status(status: Column, bad: str) -> Column:
 
 
 def party_features(events: DataFrame) -> DataFrame:
-    """One row per resolved party: volumes, rails, counterparties and flag rates."""
+    """One row per resolved party: volumes, rails, counterparties and flag rates.
+
+    Rails are gathered apart from the distinct count, which would otherwise
+    carry one set of rails per counterparty.
+    """
     resolved = with_party(events).filter(F.col("party_id").isNotNull())
-    return resolved.groupBy(*PARTY_KEY).agg(
+    measures = resolved.groupBy(*PARTY_KEY).agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum("amount").alias("total_amount"),
         F.avg("amount").alias("avg_amount"),
-        F.array_sort(F.collect_set("rail_type")).alias("rails_active"),
         _count_or_null("payee_name").alias("distinct_counterparties"),
         *(share_true(F.col(flag)).alias(name) for name, flag in _FLAG_RATES.items()),
         *(share_status(F.col(column), bad).alias(name) for name, (column, bad) in _BAD_STATUS_RATES.items()),
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_updated_at").alias("last_seen_at"),
     )
+    rails = resolved.groupBy(*PARTY_KEY).agg(F.array_sort(F.collect_set("rail_type")).alias("rails_active"))
+    return measures.join(rails, list(PARTY_KEY))
 
 
 def _count_or_null(column: str) -> Column:

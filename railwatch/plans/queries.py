@@ -48,12 +48,12 @@ class Query(NamedTuple):
 
 
 _REGISTRY: dict[str, Query] = {}
-_BENCHES: dict[tuple[int, str], Workbench] = {}
+_BENCHES: dict[tuple[SparkSession, str], Workbench] = {}
 
 
 def workbench(spark: SparkSession, sf_dir: str) -> Workbench:
     """One set of stage tables per session and folder, as a nightly run would build them."""
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark, sf_dir)
     if key not in _BENCHES:
         _BENCHES[key] = Workbench(spark, sf_dir)
     return _BENCHES[key]
