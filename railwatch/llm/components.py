@@ -1,0 +1,42 @@
+"""Connected components of a link table by alternating stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from railwatch.session import stored
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Tie every larger neighbour of a node to the smallest node around it."""
+    both = links.select("node", "to").unionByName(links.select(F.col("to").alias("node"), F.col("node").alias("to")))
+    least = both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("least"))
+    return both.filter("to > node").join(least, "node").select(F.col("to").alias("node"), F.col("least").alias("to")).distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Tie a node and its smaller neighbours to the smallest of them."""
+    down = links.select(F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to"))
+    least = down.groupBy("node").agg(F.min("to").alias("least"))
+    moved = down.join(least, "node").filter("to <> least").select(F.col("to").alias("node"), F.col("least").alias("to"))
+    return moved.unionByName(least.select("node", F.col("least").alias("to"))).distinct()
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)"))).first())
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links(node, to)`` that is not its component's smallest.
+
+    Links join different nodes. Each round is written to the shared folder, so
+    the plan stays short; the rounds grow with the logarithm of the longest
+    chain.
+    """
+    links = stored(links.select("node", "to").filter("node <> to").distinct(), "links")
+    before, now = None, _state(links)
+    while now != before:
+        links = stored(_small_star(_large_star(links)), "links")
+        before, now = now, _state(links)
+    return links.select("node", F.col("to").alias("root"))
