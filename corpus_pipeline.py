@@ -22,22 +22,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.accepted(docs, labels).select(*COLUMNS)
+    return quality.accepted(docs.select(*COLUMNS), labels)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur earlier; those with no word left go."""
-    return substring_dedup.cleaned(docs).select(*COLUMNS)
+    return substring_dedup.cleaned(docs.select(*COLUMNS))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    return mixing.repeated(docs).select(*COLUMNS)
+    return mixing.repeated(docs.select(*COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

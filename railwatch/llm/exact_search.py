@@ -161,7 +161,12 @@ def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> Data
     """
     spark = vectors.sparkSession
     rows = stored(quantised(vectors).withColumn("band", _band()), "quantised")
-    bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("least"), F.max("length").alias("most"), F.max(F.size("v")).alias("width"))
+    bands = rows.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("length").alias("least"),
+        F.max("length").alias("most"),
+        F.max(F.size("v")).alias("width"),
+    )
     found = bands.collect()  # bands cover the range of a double: at most 16 * 2,100 rows
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

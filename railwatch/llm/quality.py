@@ -83,7 +83,8 @@ def _drawn(documents: DataFrame, labels: DataFrame) -> list:
     count = F.least(F.lit(SAMPLE_PIECES), F.ceil(F.octet_length("text") / PIECE_BYTES)).cast("int")
     step = F.octet_length("text") / count
     sample = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(PIECE_BYTES)))
-    rows = documents.join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") > 0).select("doc_id", "quality", "order", sample.alias("sample"))
+    found = documents.join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") > 0)
+    rows = found.select("doc_id", "quality", "order", sample.alias("sample"))
     return sorted(rows.collect(), key=lambda r: (r.order, r.doc_id, r.sample))
 
 

@@ -219,10 +219,11 @@ def _without(window: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, kept, sizes, removed = [], [], [], []
-            columns = (numbers(batch.column("mark")), _expanded(batch.column("text")), batch.column("text").is_valid().to_pylist(), batch.column("places"))
-            for mark, text, there, places in zip(*columns):
+            there = batch.column("text").is_valid().to_pylist()
+            columns = (numbers(batch.column("mark")), _expanded(batch.column("text")), there, batch.column("places"))
+            for mark, text, known, places in zip(*columns):
                 words = text.split()
-                whole.append(text if there else None)
+                whole.append(text if known else None)
                 sizes.append(len(words))
                 starts = numbers(places.values) if places.is_valid else np.empty(0, np.int64)
                 starts = starts[starts >> _PLACE_BITS == mark] & ((1 << _PLACE_BITS) - 1)
