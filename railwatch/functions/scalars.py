@@ -20,7 +20,12 @@ TRUE_TEXTS = ("true", "1", "yes", "y", "t")
 FALSE_TEXTS = ("false", "0", "no", "n", "f")
 
 _NUMBER_TEXT = r"(?i)^[+-]?(nan|inf|infinity|(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?)$"
-_ISO_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+# Date, hour, minute, second, fraction and zone of an ISO text, with or without its dashes and colons.
+_ISO_DATE = r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+_ISO_TEXT = (
+    _ISO_DATE + r"(?:[T ](\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
+    r"(?:(Z)|([+-]\d{2})(?::?(\d{2}))?)?)?$"
+)
 
 
 def strip(text: Column) -> Column:
@@ -70,16 +75,28 @@ def to_number(text: Column) -> Column:
 
 
 def parse_iso(text: Column) -> Column:
-    """An instant from an ISO text; no zone means UTC, unreadable means null."""
-    readable = F.when(text.rlike(_ISO_TEXT), F.replace(text, F.lit(","), F.lit(".")))
-    return readable.try_cast("timestamp")
+    """An instant from an ISO text; no zone means UTC, unreadable means null.
+
+    Dashes and colons may be left out, minutes and seconds too, also in the
+    zone. Fractions are cut to microseconds.
+    """
+    return _instant(text, zoned=True)
+
+
+def _instant(text: Column, zoned: bool) -> Column:
+    # Missing groups become empty texts, which the pads turn into zeros.
+    parts = F.regexp_replace(text, _ISO_TEXT, "$1-$3-$4|$5|$7|$8|$9|$11|$12")
+    cells = F.split(parts, r"\|")
+    hour, minute, second, fraction, zone, zone_minute = (F.try_element_at(cells, F.lit(i)) for i in range(2, 8))
+    clock = F.concat_ws(":", *(F.lpad(c, 2, "0") for c in (hour, minute, second)))
+    offset = F.when(zone == "", "Z").otherwise(F.concat(zone, F.lit(":"), F.lpad(zone_minute, 2, "0")))
+    whole = F.concat(cells[0], F.lit("T"), clock, F.lit("."), F.rpad(fraction, 6, "0"), offset if zoned else F.lit("Z"))
+    return F.when(text.rlike(_ISO_TEXT), whole).try_cast("timestamp")
 
 
 def wall_clock(text: Column) -> Column:
     """The instant's own local reading, with its zone offset dropped."""
-    local = F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", "")
-    zoned = text.rlike(r"[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
-    return parse_iso(F.when(zoned, local).otherwise(text))
+    return _instant(text, zoned=False)
 
 
 def week_start(instant: Column) -> Column:

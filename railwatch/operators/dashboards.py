@@ -293,7 +293,7 @@ def detection_attention(by_rail: DataFrame) -> DataFrame:
     below = by_rail.join(means, "tenant_bank_id").filter(F.col("success_rate") < F.col("average"))
     severity = F.when(F.col("success_rate") < F.col("average") - ATTENTION_GAP, "high").otherwise("medium")
     reason = F.format_string(
-        "success_rate %.1f%% -- below this tenant's %.1f%% average across rails",
+        "%.1f%% succeed on this rail, %.1f%% on average over the tenant's rails",
         F.col("success_rate") * 100.0,
         F.col("average") * 100.0,
     )

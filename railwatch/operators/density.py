@@ -4,7 +4,8 @@ Rows of a segment are placed in cells around sampled pivots and cells are cut
 into blocks of bounded size. Neighbour distances and candidate tree edges are
 computed for pairs of blocks, and only for the pairs that the cells' radii
 cannot rule out, so the result equals that of comparing all rows. Candidate
-edges are reduced to one minimum spanning tree by joins.
+edges are reduced to one minimum spanning tree by joins, which is cut into
+clusters in blocks of edges.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from railwatch.functions.chunks import map_chunks
 from railwatch.functions.joins import join_small
-from railwatch.operators.hierarchy import flat_clusters
+from railwatch.operators.hierarchy import BLOCK_EDGES, flat_clusters
 from railwatch.operators.vectors import SEGMENT
 from railwatch.schema import WEEKLY
 from railwatch.session import stored
@@ -24,9 +25,6 @@ from railwatch.session import stored
 MIN_CLUSTER_SIZE = 5
 BLOCK_ROWS = 2000
 MAX_CELLS = 1024
-# The tree of a segment is cut into clusters in one task; a larger segment is
-# refused rather than collected.
-MAX_TREE_POINTS = 5_000_000
 
 _GROUP = "tenant_bank_id string, segment string"
 _BLOCK = (*SEGMENT, "cell", "part")
@@ -38,10 +36,8 @@ def distinct_points(vectors: DataFrame) -> DataFrame:
         F.min("snapshot_id").alias("point_id"), F.count(F.lit(1)).alias("weight")
     )
     sizes = points.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("rows"))
-    refused = F.raise_error(F.concat(F.lit("too many distinct points to cut one tree: "), *SEGMENT))
-    size = F.when(F.col("n") > MAX_TREE_POINTS, refused.cast("long")).otherwise(F.col("n"))
     needed = F.least(F.lit(MIN_CLUSTER_SIZE), F.col("rows")).cast("int").alias("needed")
-    return join_small(points, sizes, SEGMENT).select(*SEGMENT, "point_id", "x", "weight", size.alias("n"), needed)
+    return join_small(points, sizes, SEGMENT).select(*SEGMENT, "point_id", "x", "weight", "n", needed)
 
 
 def _pivots(points: DataFrame, block_rows: int) -> DataFrame:
@@ -338,33 +334,13 @@ def _roots(pointers: DataFrame) -> DataFrame:
         roots = jumped.drop("moved")
 
 
-def _labels(tree: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-    points = points.sort_values("point_id").reset_index(drop=True)
-    position = pd.Series(points.index, index=points["point_id"])
-    ordered = tree.sort_values(["w", "u", "v"])
-    labels = flat_clusters(
-        position.reindex(ordered["u"]).to_numpy(),
-        position.reindex(ordered["v"]).to_numpy(),
-        ordered["w"].to_numpy(),
-        points["weight"].to_numpy(),
-        points["core"].to_numpy(),
-        int(points["needed"].iloc[0]),
-    )
-    return points[[*SEGMENT, "point_id"]].assign(cluster_id=labels.astype("int32"))
-
-
-def density_clusters(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def density_clusters(vectors: DataFrame, block_rows: int = BLOCK_ROWS, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """``cluster_id`` per snapshot; -1 is noise."""
     points = stored(distinct_points(vectors), "distinct")
     placed, pivots = placed_points(points, block_rows)
     cored = core_distances(placed, pivots)
     tree = stored(spanning_edges(candidate_edges(cored, pivots), cored), "tree")
-    slim = cored.select(*SEGMENT, "point_id", "weight", "core", "needed")
-    labels = (
-        tree.groupBy(*SEGMENT)
-        .cogroup(slim.groupBy(*SEGMENT))
-        .applyInPandas(_labels, f"{_GROUP}, point_id string, cluster_id int")
-    )
+    labels = flat_clusters(tree, cored.select(*SEGMENT, "point_id", "weight", "core", "needed"), block_edges)
     by_vector = points.join(labels, [*SEGMENT, "point_id"]).select(*SEGMENT, "x", "cluster_id")
     return vectors.join(by_vector, [*SEGMENT, "x"]).select("snapshot_id", *SEGMENT, "cluster_id")
 

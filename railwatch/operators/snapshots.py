@@ -43,10 +43,10 @@ def dated_party_events(events: DataFrame) -> DataFrame:
 
 
 def undated_count(events: DataFrame) -> DataFrame:
-    """Resolved events per tenant that snapshots leave out for lack of a time."""
+    """Resolved events per tenant that snapshots leave out for lack of a readable time."""
     resolved = with_party(events).filter(F.col("party_id").isNotNull())
     return (
-        resolved.filter(F.col("transaction_occurred_at").isNull())
+        resolved.filter(parse_iso(F.col("transaction_occurred_at")).isNull())
         .groupBy("tenant_bank_id")
         .agg(F.count(F.lit(1)).alias("skipped_no_timestamp"))
     )

@@ -141,12 +141,12 @@ def case_frequency_trend(cases: DataFrame, counts: DataFrame, trends: DataFrame)
     peak = F.greatest(F.max("count").over(case).cast("double"), threshold)
     note = F.when(
         (F.col("week_start") == F.col("latest_week")) & F.col("direction").isin("increasing", "decreasing"),
-        F.concat(F.lit("Volume "), "direction", F.format_string(" (vs. %.1f/week avg)", baseline)),
+        F.format_string("%s from %.1f cases a week", "direction", baseline),
     )
     return drawn.select(
         "tenant_bank_id",
         "case_code",
-        F.concat(pattern_title(F.col("category"), F.col("payment_rail")), F.lit(" -- Weekly Frequency")).alias("title"),
+        F.concat(pattern_title(F.col("category"), F.col("payment_rail")), F.lit(", cases per week")).alias("title"),
         F.lit("count").alias("unit"),
         F.to_date("week_start").alias("point_time"),
         F.col("count").cast("double").alias("point_value"),
@@ -211,7 +211,7 @@ def _rate_chart(category: str, cases: DataFrame, snapshots: DataFrame, issues: D
     peak = F.greatest(F.max("percent").over(case), F.col("limit.threshold"))
     note = F.when(
         F.abs("z") >= flag_z,
-        F.format_string(f"Spike flagged ({word} rate, |z|=%.1f)", F.abs("z")),
+        F.format_string(f"{word} rate at |z| = %.1f", F.abs("z")),
     )
     return drawn.select(
         "tenant_bank_id",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from railwatch.functions.scalars import iso_text, masked_last4, normalized_status
+from railwatch.functions.scalars import iso_text, map_value_by_suffix, masked_last4, normalized_status, parse_iso
 from railwatch.operators import (
     cases,
     dashboards,
@@ -227,13 +227,15 @@ def ingestion_log(w: Workbench) -> DataFrame:
     )
 
 
-@query(
-    """SELECT tenant_bank_id, rail_type, transaction_id, payer_name, CASE WHEN k < 80 THEN coalesce(status, 'INITIATED') ELSE 'INITIATED' END AS status,
+_MERGED_SQL = """SELECT tenant_bank_id, rail_type, transaction_id, payer_name, CASE WHEN k < 80 THEN coalesce(status, 'INITIATED') ELSE 'INITIATED' END AS status,
  CASE WHEN k < 80 THEN reconciliation_status END AS reconciliation_status, CASE WHEN k < 80 THEN reconciliation_variance_amount END AS reconciliation_variance_amount,
- round(amount, 6) AS amount, CASE WHEN k < 80 THEN 3 ELSE 2 END AS response_entries, true AS has_pre, k < 80 AS has_post FROM ev"""
-)
-def canonical_merge(w: Workbench) -> DataFrame:
-    """PRE rows of every event and POST rows of most, some with a blank payer name."""
+ round(amount, 6) AS amount, CASE WHEN k < 80 THEN 4 ELSE 2 END AS response_entries, CASE WHEN k < 80 THEN CAST(k AS VARCHAR) END AS response_code,
+ CASE WHEN k < 80 THEN 'old ' || CAST(k AS VARCHAR) END AS unnamed_entry, CAST(100 + 10 * k AS VARCHAR) AS response_time,
+ 'pre ' || transaction_id AS pre_row, CASE WHEN k < 80 THEN 'post ' || transaction_id END AS post_row, event_ordinal AS position FROM ev"""
+
+
+def _pre_and_post(w: Workbench) -> tuple[DataFrame, DataFrame]:
+    """PRE arrivals of every event and POST arrivals of most, some with a blank payer name or an entry no mapping names."""
     k = _k(w.events)
     mapped = w.events.select(
         "tenant_bank_id",
@@ -243,7 +245,6 @@ def canonical_merge(w: Workbench) -> DataFrame:
         k.alias("k"),
         "event_ordinal",
     )
-    seq = F.struct(F.lit(0).alias("file"), F.col("event_ordinal").alias("position"))
     pre = mapped.withColumns(
         {
             "status": F.lit("INITIATED"),
@@ -251,27 +252,41 @@ def canonical_merge(w: Workbench) -> DataFrame:
             "reconciliation_variance_amount": F.lit(None).cast("double"),
         }
     )
-    extra = F.map_concat("network_response_details", F.create_map(F.lit("response_code"), k.cast("string")))
+    entries = F.create_map(
+        F.lit("response_code"), k.cast("string"), F.lit("unnamed"), F.concat(F.lit("old "), k.cast("string"))
+    )
     post = mapped.filter(k < 80).withColumns(
         {
             "payer_name": F.when(k % 6 == 0, " ").otherwise(F.col("payer_name")),
-            "network_response_details": extra,
+            "network_response_details": F.map_concat("network_response_details", entries),
         }
     )
-    arrived = None
-    for number, (rows, is_pre) in enumerate(((pre, True), (post, False))):
-        stamped = rows.select(
-            "*",
-            F.lit(is_pre).alias("is_pre"),
-            F.create_map(F.lit("transaction_id"), F.col("transaction_id")).alias("raw_row"),
-            seq.withField("file", F.lit(number)).alias("arrival_seq"),
+
+    def stamped(rows: DataFrame, number: int, name: str) -> DataFrame:
+        return rows.select(
+            *(c for c in rows.columns if c not in ("k", "event_ordinal")),
+            F.lit(name == "pre").alias("is_pre"),
+            F.create_map(F.lit("row"), F.concat(F.lit(f"{name} "), F.col("transaction_id"))).alias("raw_row"),
+            F.struct(F.lit(number).alias("file"), F.col("event_ordinal").alias("position")).alias("arrival_seq"),
             F.lit(DETECTED_AT).cast("timestamp").alias("arrived_at"),
         )
-        arrived = stamped if arrived is None else arrived.unionByName(stamped)
-    prefixes = ("network_response_control", "clearing_network_response")
-    leaves = (".response_time_ms", ".expected_response_sla_ms")
-    keys = {"network_response_details": [p + leaf for p in prefixes for leaf in leaves] + ["response_code"]}
-    merged = merge.canonical_merge(arrived.drop("k", "event_ordinal"), keys)
+
+    return stamped(pre, 0, "pre"), stamped(post, 1, "post")
+
+
+_RESPONSE_KEYS = {
+    "network_response_details": [
+        "network_response_control.response_time_ms",
+        "network_response_control.expected_response_sla_ms",
+        "clearing_network_response.response_time_ms",
+        "clearing_network_response.expected_response_sla_ms",
+        "response_code",
+    ]
+}
+
+
+def _merged_columns(merged: DataFrame) -> DataFrame:
+    details = F.col("network_response_details")
     return merged.select(
         "tenant_bank_id",
         "rail_type",
@@ -281,12 +296,52 @@ def canonical_merge(w: Workbench) -> DataFrame:
         "reconciliation_status",
         "reconciliation_variance_amount",
         "amount",
-        F.size("network_response_details").alias("response_entries"),
-        F.col("snapshot_pre").isNotNull().alias("has_pre"),
-        F.col("snapshot_post").isNotNull().alias("has_post"),
+        F.size(details).alias("response_entries"),
+        F.try_element_at(details, F.lit("response_code")).alias("response_code"),
+        F.try_element_at(details, F.lit("unnamed")).alias("unnamed_entry"),
+        map_value_by_suffix(details, ".response_time_ms").alias("response_time"),
+        F.try_element_at("snapshot_pre", F.lit("row")).alias("pre_row"),
+        F.try_element_at("snapshot_post", F.lit("row")).alias("post_row"),
+        F.col("event_ordinal.position").alias("position"),
     )
 
 
+@query(_MERGED_SQL)
+def canonical_merge(w: Workbench) -> DataFrame:
+    """Both files of every event in one run."""
+    pre, post = _pre_and_post(w)
+    return _merged_columns(merge.canonical_merge(pre.unionByName(post), _RESPONSE_KEYS))
+
+
+@query(_MERGED_SQL)
+def canonical_merge_again(w: Workbench) -> DataFrame:
+    """The later file merged into the events that an earlier run left."""
+    pre, post = _pre_and_post(w)
+    known = merge.canonical_merge(pre, _RESPONSE_KEYS)
+    return _merged_columns(merge.canonical_merge(post, _RESPONSE_KEYS, existing=known))
+
+
+@query(
+    """SELECT event_ordinal, strftime(CASE k % 7 WHEN 0 THEN t WHEN 1 THEN date_trunc('hour', t) WHEN 2 THEN t - INTERVAL 1 HOUR WHEN 3 THEN t
+ WHEN 4 THEN date_trunc('day', t) WHEN 5 THEN t + INTERVAL 330 MINUTE END, '%Y-%m-%dT%H:%M:%SZ') AS occurred
+ FROM (SELECT *, strptime(transaction_occurred_at, '%Y-%m-%dT%H:%M:%SZ') AS t FROM ev)"""
+)
+def time_forms(w: Workbench) -> DataFrame:
+    """Instants read back from texts of several ISO forms; one form that is none stays null."""
+    at, k = parse_iso(F.col("transaction_occurred_at")), _k(w.events)
+    forms = {
+        0: F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"),
+        1: F.date_format(at, "yyyy-MM-dd'T'HH"),
+        2: F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01")),
+        3: F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(",123456789")),
+        4: F.date_format(at, "yyyy-MM-dd"),
+        5: F.concat(F.date_format(at, "yyyy-MM-dd'T'HHmmss"), F.lit(".5-0530")),
+        6: F.date_format(at, "dd.MM.yyyy HH:mm"),
+    }
+    text = F.coalesce(*(F.when(k % len(forms) == n, form) for n, form in forms.items()))
+    return w.events.select("event_ordinal", F.date_trunc("second", parse_iso(text)).alias("occurred"))
+
+
 # --- identity -----------------------------------------------------------------
 
 _MERCHANT_ID = "'MER-' || upper(substr(sha256(tenant_bank_id || '|' || source_merchant_id), 1, 16))"

@@ -25,11 +25,13 @@ _fallback_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for cut lineage; one of our own only where it names none."""
+    """The folder the cluster names for cut lineage; one of our own only in a local session that names none."""
     global _fallback_folder
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _fallback_folder is None:
         _fallback_folder = tempfile.mkdtemp(prefix="railwatch-")
     return _fallback_folder

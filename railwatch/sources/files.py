@@ -16,13 +16,22 @@ NULL_TEXTS = (
 POSITION = "__position"
 
 
+def has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted cell goes on in the next line, so that lines hold odd numbers of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """Read one file with a header, every cell as text, plus its position in the file.
 
-    Splits of a file are ordered by their start, and rows within a split by the
-    generated id, so ``__position`` sorts like the lines do.
+    A quote inside a quoted cell is doubled. A file with line ends inside quotes
+    is read as one split, any other in as many as its size asks for. Splits of a
+    file are ordered by their start, and rows within a split by the generated id,
+    so ``__position`` sorts like the lines do.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, sep=separator)
+    broken = has_broken_lines(spark, path)
+    raw = spark.read.csv(path, header=True, inferSchema=False, sep=separator, quote='"', escape='"', multiLine=broken)
     position = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     cells = [
         F.when(~F.col(f"`{c}`").isin(*NULL_TEXTS), F.col(f"`{c}`")).alias(c.strip()) for c in raw.columns

@@ -55,15 +55,15 @@ def _transformed(mapping: Mapping) -> tuple[Column, Column]:
         return F.when(~missing, normalized_status(source)), no_error
     if kind == LAST4_MASK:
         return F.when(~missing, masked_last4(source)), no_error
-    return F.lit(None).cast("string"), F.when(~missing, F.lit(f"Unknown transform_type: '{kind}'"))
+    return F.lit(None).cast("string"), F.when(~missing, F.lit(f"no such transform: {kind}"))
 
 
 def _coerced(value: Column, target: T.DataType) -> tuple[Column, Column]:
     """Value in the target type, and an error text where it cannot be read."""
     if isinstance(target, T.BooleanType):
-        typed, text = to_boolean(value), "Cannot coerce '%s' to a boolean"
+        typed, text = to_boolean(value), "not a boolean: %s"
     elif isinstance(target, T.DoubleType):
-        typed, text = to_number(value), "could not convert string to float: '%s'"
+        typed, text = to_number(value), "not a number: %s"
     else:
         return value, F.lit(None).cast("string")
     return typed, F.when(value.isNotNull() & typed.isNull(), F.format_string(text, value))
@@ -71,7 +71,7 @@ def _coerced(value: Column, target: T.DataType) -> tuple[Column, Column]:
 
 def _applies(mapping: Mapping, columns: Sequence[str]) -> Column | None:
     """Where the mapping's condition holds; None where it can never hold."""
-    if mapping.condition_column is None:
+    if not mapping.condition_column:
         return F.lit(True)
     if mapping.condition_column not in columns:
         return F.lit(True) if mapping.condition_value is None else None
@@ -118,7 +118,7 @@ def project(raw: DataFrame, mappings: Sequence[Mapping]) -> DataFrame:
 
     transaction = fields.pop("transaction_id", F.lit(None).cast("string"))
     no_id = F.when(
-        transaction.isNull() | (transaction == ""), F.lit("no transaction_id produced by mapping config for this row")
+        transaction.isNull() | (transaction == ""), F.lit("the mapping gives this row no transaction_id")
     )
     cells = F.create_map(*(part for c in columns for part in (F.lit(c), F.col(f"`{c}`")))) if columns else F.lit(None)
     return raw.select(

@@ -32,9 +32,13 @@ def arrivals(
 
 
 def ingest_files(
-    spark: SparkSession, mapping_rows: DataFrame, files: Sequence[tuple[str, str, str, str]], arrived_at: dt.datetime
+    spark: SparkSession,
+    mapping_rows: DataFrame,
+    files: Sequence[tuple[str, str, str, str]],
+    arrived_at: dt.datetime,
+    existing: DataFrame | None = None,
 ) -> DataFrame:
-    """Merge (tenant, rail, stage, path) files in the given order."""
+    """Merge (tenant, rail, stage, path) files in the given order, into ``existing`` events if given."""
     parts, keys = [], {}
     for number, (tenant, rail, stage, path) in enumerate(files):
         mappings = load_mappings(mapping_rows, tenant, rail)
@@ -43,7 +47,7 @@ def ingest_files(
         for field, columns in map_keys(mappings).items():
             keys.setdefault(field, [])
             keys[field] += [c for c in columns if c not in keys[field]]
-    return canonical_merge(reduce(DataFrame.unionByName, parts), keys)
+    return canonical_merge(reduce(DataFrame.unionByName, parts), keys, existing=existing)
 
 
 def populated(field: str) -> Column:
@@ -57,47 +61,100 @@ def populated(field: str) -> Column:
 
 def _latest(value: Column, holds: Column) -> Column:
     """The value of the last arrival for which ``holds`` is true."""
-    return F.max_by(value, F.when(holds, F.col("arrival_seq")))
+    return F.max_by(value, F.when(holds, F.col("seq")))
+
+
+def _in_one_shape(arrived: DataFrame, existing: DataFrame | None, fields: Sequence[str]) -> DataFrame:
+    """Arrivals, and known events as arrivals that came before all others."""
+
+    def shaped(rows: DataFrame, run: int, pre: Column, post: Column, first: str, last: str, order: str) -> DataFrame:
+        return rows.select(
+            *EVENT_KEY,
+            *fields,
+            pre.alias("pre_row"),
+            post.alias("post_row"),
+            F.col(first).alias("seen_from"),
+            F.col(last).alias("seen_to"),
+            F.struct(F.lit(run).alias("run"), F.col(order).alias("order")).alias("seq"),
+        )
+
+    raw, is_pre = F.col("raw_row"), F.col("is_pre")
+    new = shaped(arrived, 1, F.when(is_pre, raw), F.when(~is_pre, raw), "arrived_at", "arrived_at", "arrival_seq")
+    if existing is None:
+        return new
+    known = (F.col("snapshot_pre"), F.col("snapshot_post"))
+    return shaped(existing, 0, *known, "first_seen_at", "last_updated_at", "event_ordinal").unionByName(new)
+
+
+def _other_entries(rows: DataFrame, maps: Table[str, Sequence[str]]) -> DataFrame:
+    """Map entries under keys the configuration does not name: a row per event that has some, a map per field.
+
+    They are combined by (event, field, key), so what is gathered per event is
+    one entry per key.
+    """
+
+    def entries(field: str) -> Column:
+        known = list(maps[field])
+        unnamed = F.map_filter(field, lambda key, value: value.isNotNull() & (~key.isin(*known) if known else F.lit(True)))
+        return F.transform(
+            F.coalesce(F.map_entries(unnamed), F.array().cast("array<struct<key:string,value:string>>")),
+            lambda e: F.struct(F.lit(field).alias("field"), e["key"].alias("key"), e["value"].alias("value")),
+        )
+
+    found = rows.select(*EVENT_KEY, "seq", F.explode(F.concat(*(entries(f) for f in maps))).alias("entry"))
+    latest = found.groupBy(*EVENT_KEY, "entry.field", "entry.key").agg(F.max_by("entry.value", "seq").alias("value"))
+    pair = F.struct("key", "value")
+    return latest.groupBy(*EVENT_KEY).agg(
+        *(F.map_from_entries(F.collect_list(F.when(F.col("field") == f, pair))).alias(f"__more_{f}") for f in maps)
+    )
 
 
 def canonical_merge(
-    arrived: DataFrame, keys: Table[str, Sequence[str]], fields: Sequence[str] = tuple(MAPPED_FIELDS)
+    arrived: DataFrame,
+    keys: Table[str, Sequence[str]],
+    fields: Sequence[str] = tuple(MAPPED_FIELDS),
+    existing: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (tenant, rail, transaction).
+    """One row per (tenant, rail, transaction), merged into ``existing`` events if given.
 
     The last populated value of a field wins and a blank never overwrites. Map
-    fields merge key by key; their keys are the source columns the mapping
-    names, so every field is an aggregate that combines before the shuffle and
-    no list of arrivals is ever collected.
+    fields merge key by key. The keys that the mapping names are aggregates
+    beside the other fields, so they combine before the shuffle and no list of
+    arrivals is ever collected; keys under other names are merged apart and
+    joined to the few events that have any. Known events keep their first raw
+    rows, their first time and their place.
     """
     scalars = [f for f in fields if not isinstance(MAPPED_FIELDS[f], T.MapType)]
     maps = {f: list(keys.get(f, ())) for f in fields if isinstance(MAPPED_FIELDS[f], T.MapType)}
+    rows = _in_one_shape(arrived, existing, fields)
 
     merged = [_latest(F.col(f), populated(f)).alias(f) for f in scalars]
     for field, columns in maps.items():
         for number, column in enumerate(columns):
             value = F.try_element_at(F.col(field), F.lit(column))
             merged.append(_latest(value, value.isNotNull()).alias(f"__{field}_{number}"))
-    raw = F.col("raw_row")
     first_raw = [
-        F.min_by(raw, F.when(stage, F.col("arrival_seq"))).alias(name)
-        for name, stage in (("snapshot_pre", F.col("is_pre")), ("snapshot_post", ~F.col("is_pre")))
+        F.min_by(row, F.when(F.col(row).isNotNull(), F.col("seq"))).alias(name)
+        for name, row in (("snapshot_pre", "pre_row"), ("snapshot_post", "post_row"))
     ]
-    grouped = arrived.groupBy(*EVENT_KEY).agg(
+    grouped = rows.groupBy(*EVENT_KEY).agg(
         *merged,
         *first_raw,
-        F.min("arrived_at").alias("first_seen_at"),
-        F.max("arrived_at").alias("last_updated_at"),
-        F.min("arrival_seq").alias("event_ordinal"),
+        F.min("seen_from").alias("first_seen_at"),
+        F.max("seen_to").alias("last_updated_at"),
+        F.min("seq").alias("first_seq"),
     )
+    if maps:
+        grouped = grouped.join(_other_entries(rows, maps), list(EVENT_KEY), "left")
 
     def rebuilt(field: str) -> Column:
         columns = maps[field]
-        if not columns:
-            return F.lit(None).cast(MAPPED_FIELDS[field])
-        parts = [p for n, c in enumerate(columns) for p in (F.lit(c), F.col(f"__{field}_{n}"))]
-        entries = F.map_filter(F.create_map(*parts), lambda _key, value: value.isNotNull())
-        return F.when(F.size(entries) > 0, entries)
+        more = F.coalesce(f"__more_{field}", F.create_map().cast(MAPPED_FIELDS[field]))
+        if columns:
+            parts = [p for n, c in enumerate(columns) for p in (F.lit(c), F.col(f"__{field}_{n}"))]
+            own = F.map_filter(F.create_map(*parts), lambda _key, value: value.isNotNull())
+            more = F.map_concat(own, more)
+        return F.when(F.size(more) > 0, more)
 
     return grouped.select(
         *EVENT_KEY,
@@ -106,5 +163,5 @@ def canonical_merge(
         "snapshot_post",
         "first_seen_at",
         "last_updated_at",
-        "event_ordinal",
+        F.col("first_seq.order").alias("event_ordinal"),
     )

@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,12 @@ def test_layouts_cover_every_rail():
     shared = layouts.shared_layout("B")
     assert sum(m.canonical_field_name == "processor_name" for m in shared) == 1
     assert len(layouts.flat_layout("B")) == 22
+    counts = [Counter(m.rail_type for m in rows) for rows in (nested, shared, layouts.flat_layout("B"))]
+    assert counts == [
+        {"CHEQUE": 74, "ACH": 74, "WIRE": 70, "FEDNOW": 79, "CARD": 66},
+        {"CHEQUE": 25, "ACH": 25, "WIRE": 25, "FEDNOW": 25, "CARD": 26},
+        {"WIRE": 14, "CARD": 8},
+    ]
 
 
 def test_csv_is_read_as_trimmed_text_with_nulls(spark, tmp_path):
@@ -33,6 +40,45 @@ def test_csv_is_read_as_trimmed_text_with_nulls(spark, tmp_path):
     assert rows[0].debtor_name is None and rows[0].settled_amount == "11.5"
 
 
+def test_quotes_and_line_ends_in_cells(spark, tmp_path):
+    text = 'id,name,amount\nT1,"Smith ""Bob"", Ltd",5\nT2,"two\nlines",6\n'
+    rows = files.read_delimited(spark, write(tmp_path / "quoted.csv", text)).orderBy(files.POSITION).collect()
+    assert [(r.id, r.name, r.amount) for r in rows] == [("T1", 'Smith "Bob", Ltd', "5"), ("T2", "two\nlines", "6")]
+
+
+def test_later_files_merge_into_known_events(spark, tmp_path):
+    table = mapping.mapping_table(spark, layouts.flat_layout("BANK"))
+    pre, post = write(tmp_path / "pre.csv", PRE), write(tmp_path / "post.csv", POST)
+    order = [("BANK", "WIRE", "PRE", pre), ("BANK", "WIRE", "POST", post)]
+    whole = by(merge.ingest_files(spark, table, order, AT), "transaction_id")
+    later = AT + dt.timedelta(days=1)
+    known = merge.ingest_files(spark, table, order[:1], AT)
+    both = by(merge.ingest_files(spark, table, order[1:], later, existing=known), "transaction_id")
+    assert both.keys() == whole.keys()
+    for key, row in whole.items():
+        same = ("payer_name", "amount", "fees", "status", "risk_flags", "snapshot_pre", "snapshot_post")
+        assert [both[key][c] for c in same] == [row[c] for c in same]
+    assert both["W2"]["event_ordinal"] == whole["W2"]["event_ordinal"]
+    assert both["W1"]["first_seen_at"] < both["W1"]["last_updated_at"]
+    assert both["W2"]["first_seen_at"] == both["W2"]["last_updated_at"]
+
+
+def test_map_entries_of_an_earlier_configuration_stay(spark, tmp_path):
+    table = mapping.mapping_table(spark, layouts.flat_layout("BANK"))
+    known = merge.ingest_files(spark, table, [("BANK", "WIRE", "PRE", write(tmp_path / "pre.csv", PRE))], AT)
+    flags = F.when(F.col("transaction_id") == "W1", F.create_map(F.lit("retired"), F.lit("x"))).otherwise(F.col("risk_flags"))
+    known = known.withColumn("risk_flags", flags)
+    post = [("BANK", "WIRE", "POST", write(tmp_path / "post.csv", POST))]
+    merged = by(merge.ingest_files(spark, table, post, AT, existing=known), "transaction_id")
+    assert merged["W1"]["risk_flags"] == {"retired": "x", "aml_screen_result": "CLEAR"}
+
+
+def test_an_empty_condition_is_none(spark, tmp_path):
+    raw = files.read_delimited(spark, write(tmp_path / "pre.csv", PRE))
+    rows = [Mapping("B", "WIRE", "wire_ref", "transaction_id", DIRECT, "", "ignored")]
+    assert mapping.good_rows(mapping.project(raw, rows)).count() == 3
+
+
 def test_files_merge_into_canonical_events(spark, tmp_path):
     table = mapping.mapping_table(spark, layouts.flat_layout("BANK"))
     pre, post = write(tmp_path / "pre.csv", PRE), write(tmp_path / "post.csv", POST)
@@ -59,7 +105,7 @@ def test_bad_rows_are_set_aside(spark, tmp_path):
     raw = files.read_delimited(spark, write(tmp_path / "pre.csv", PRE))
     projected = mapping.project(raw, mappings)
     errors = sorted(r.error for r in mapping.failed_rows(projected).collect())
-    assert errors == ["could not convert string to float: 'oops'", "no transaction_id produced by mapping config for this row"]
+    assert errors == ["not a number: oops", "the mapping gives this row no transaction_id"]
     log = mapping.ingestion_log(projected, raw, mappings, "BANK", "WIRE", "PRE", "pre.csv").first()
     assert (log.row_count, log.rows_mapped, log.rows_failed, log.unmapped_columns) == (4, 2, 2, [])
 
@@ -95,8 +141,8 @@ def test_conditions_and_last_mapping(spark):
     assert one.risk_flags == {"r1": "v"} and one.fees is None and one.error is None
     assert (two.source_merchant_id, two.source_individual_id, two.amount, two.is_retry) == (None, "Y", None, False)
     assert two.risk_flags == {}
-    assert three.error == "Cannot coerce 'perhaps' to a boolean"
-    assert four.error == "Unknown transform_type: 'REVERSE'"
+    assert three.error == "not a boolean: perhaps"
+    assert four.error == "no such transform: REVERSE"
 
 
 def test_reseed_replaces_and_add_missing_adds(spark):

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from railwatch.operators import density, forest, scoring, vectors
-from railwatch.operators.hierarchy import flat_clusters
+from flat_clusters import flat_clusters
+from railwatch.functions.components import roots
+from railwatch.operators import density, forest, hierarchy, scoring, vectors
 from railwatch.session import stored
 
 VECTORS = "snapshot_id string, tenant_bank_id string, segment string, split string, x array<double>"
@@ -109,6 +110,55 @@ def test_two_groups_separate_whatever_the_blocks(spark):
     assert partition(clusters(spark, points, block_rows=15)) == (noise, groups)
 
 
+def spanning_tree(points, copies):
+    """Core distances of weighted points and the edges of their tree, by comparing all."""
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    order = np.argsort(apart, axis=1)
+    reached = np.cumsum(copies[order], axis=1) >= min(5, copies.sum())
+    core = np.take_along_axis(apart, order, axis=1)[np.arange(len(points)), reached.argmax(axis=1)]
+    reach = np.maximum(apart, np.maximum(core[:, None], core[None]))
+    top, edges = list(range(len(points))), []
+    for w, i, j in sorted((reach[i, j], i, j) for i in range(len(points)) for j in range(i)):
+        a, b = i, j
+        while top[a] != a:
+            a = top[a]
+        while top[b] != b:
+            b = top[b]
+        if a != b:
+            top[a] = b
+            edges.append((w, i, j))
+    return core, edges
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_tree_is_cut_alike_in_blocks_of_any_size(spark, seed):
+    random = np.random.default_rng(seed)
+    centres = random.uniform(-8, 8, (6, 2))
+    points = np.concatenate([*(random.normal(c, 0.1 + 0.4 * i, (14, 2)) for i, c in enumerate(centres)), random.uniform(-12, 12, (12, 2))])
+    copies = np.where(np.arange(len(points)) % 17 == 0, 6, 1)
+    core, edges = spanning_tree(points, copies)
+    # Equal edges may be added in any order, so they are told apart here.
+    edges = [(w + n * 1e-7, i, j) for n, (w, i, j) in enumerate(edges)]
+    plain = flat_clusters(
+        np.array([i for _, i, _ in edges]), np.array([j for _, _, j in edges]), np.array([w for w, _, _ in edges]), copies, core, 5
+    )
+    expected = partition({f"T{i:04d}": int(c) for i, c in enumerate(plain)})
+    tree = spark.createDataFrame([("B", "S", f"T{i:04d}", f"T{j:04d}", float(w)) for w, i, j in edges], "tenant_bank_id string, segment string, u string, v string, w double")
+    rows = [("B", "S", f"T{i:04d}", int(copies[i]), float(core[i]), 5) for i in range(len(points))]
+    table = spark.createDataFrame(rows, "tenant_bank_id string, segment string, point_id string, weight long, core double, needed int")
+    for block in (1000, 40, 13):
+        got = {r.point_id: r.cluster_id for r in hierarchy.flat_clusters(tree, table, block).collect()}
+        assert partition(got) == expected
+        assert set(got.values()) - {-1} == set(range(len(expected[1])))
+    assert len(expected[1]) > 2
+
+
+def test_components_of_links(spark):
+    links = spark.createDataFrame([("a", i, i + 1) for i in range(30)] + [("b", 3, 2), ("b", 7, 7)], "g string, node long, to long")
+    got = {(r.g, r.node): r.root for r in roots(links, ["g"]).collect()}
+    assert got == {**{("a", i): 0 for i in range(1, 31)}, ("b", 3): 2}
+
+
 def test_a_lone_row_is_noise(spark):
     assert clusters(spark, np.zeros((1, 2))) == {"T0000": -1}
     assert set(clusters(spark, np.zeros((3, 2))).values()) == {-1}

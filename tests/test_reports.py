@@ -31,8 +31,7 @@ def test_cases_split_on_gaps(spark):
     first = built["ACH", T0]
     assert (first["contributing_alerts_count"], first["current_exposure"], first["transactions_affected"]) == (2, 2.0, 2)
     assert (first["priority_level"], first["worst_source_id"]) == ("Critical", "s1")
-    assert first["priority_reason"].startswith("Rated Critical priority because of its most severe contributing alert (confirmed reconciliation break, of 2")
-    assert "scored 90/100" in first["priority_reason"] and first["priority_reason"].endswith("threshold of 85.")
+    assert first["priority_reason"].endswith("scored 90 against its peers (Critical starts at 85), the gravest of 2 alerts of this case")
     assert built[None, T0 + dt.timedelta(hours=1)]["title"] == "Confirmed reconciliation break Cluster"
 
 

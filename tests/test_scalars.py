@@ -40,6 +40,14 @@ def test_number(spark, text, expected):
         ("2024-01-03 10:00:00", dt.datetime(2024, 1, 3, 10)),
         ("2024-01-03", dt.datetime(2024, 1, 3)),
         ("2024-01-03T10:00:00+05:30", dt.datetime(2024, 1, 3, 4, 30)),
+        ("2024-01-03T10:00:00.123456789Z", dt.datetime(2024, 1, 3, 10)),
+        ("20240103T100000Z", dt.datetime(2024, 1, 3, 10)),
+        ("20240103T1000+0530", dt.datetime(2024, 1, 3, 4, 30)),
+        ("2024-01-03T10", dt.datetime(2024, 1, 3, 10)),
+        ("2024-01-03T10:00:00+01", dt.datetime(2024, 1, 3, 9)),
+        ("20240103", dt.datetime(2024, 1, 3)),
+        ("2024-0103", None),
+        ("2024-01-03T10:0000", None),
         ("2024", None),
         ("soon", None),
         ("2024-13-03", None),
