@@ -4,8 +4,8 @@ Every source wants its weight's share of the words to take. A source may be
 repeated ``max_epochs`` times at most, so those whose share is above that are
 clamped and the excess is dealt to the others by weight, again and again until
 none is above. The repetitions that remain are whole ones of every document and
-a fraction of the source, for which documents are drawn in a seeded order while
-they fit. A few more that fit into what is then left are picked by size.
+a fraction of the source, for which documents are drawn in a seeded order until
+the target is met; of the last one drawn, only a fraction is taken.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ SHARE_OF_ALL = 1.5
 MAX_EPOCHS = 2.0
 SEED = 20_240_101
 
-# Documents picked by size after the drawing, per source.
-PICKS = 3
-
 
 def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -72,7 +69,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epoc
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, size and a seeded place in the drawing order, for every row.
 
-    ``copies`` also asks for a ``number`` that tells rows apart.
+    ``shares`` also asks for a ``number`` that tells rows apart.
     """
     place = F.xxhash64(F.lit(seed), id_order(), "source", "text")
     return docs.select(
@@ -90,51 +87,30 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.withColumn("group", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
 
 
-def _picked(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
-    """group, number: per source up to ``PICKS`` undrawn documents, each the largest that fits what is left."""
-    open_ = stored(drawn.filter("not taken and size > 0").select("group", "number", "size"), "open")
-    used = drawn.filter("taken").groupBy("group").agg(F.sum("size").alias("used"))
-    left = wanted.join(used, "group", "left").select("group", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("left"))
-    left, picks = stored(left, "left"), None
-    for _ in range(PICKS):
-        fitting = join_small(open_, left, ["group"]).filter("size <= left")
-        best = fitting.groupBy("group").agg(F.max(F.struct("size", "number")).alias("best"))
-        best = stored(best.select("group", "best.size", "best.number"), "picked")
-        picks = best if picks is None else picks.unionByName(best)
-        open_ = join_small(open_, best.select("group", F.col("number").alias("gone")), ["group"], "left")
-        open_ = open_.filter("gone is null or number <> gone").drop("gone")
-        taken = best.select("group", F.col("size").alias("more"))
-        left = stored(left.join(taken, "group", "left").select("group", (F.col("left") - F.coalesce("more", F.lit(0))).alias("left")), "left")
-    return picks.select("group", "number")
-
-
-def copies(
+def shares(
     rows: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE_OF_ALL,
     max_epochs: float = MAX_EPOCHS,
 ) -> DataFrame:
-    """``rows`` of ``sized`` with source_size, target and copies, how often the mix takes a document."""
-    wanted = stored(_groups(targets(rows, weights, share, max_epochs)).drop("source"), "targets")
+    """``rows`` of ``sized`` with source_size, target, and the words taken of every document."""
+    wanted = _groups(targets(rows, weights, share, max_epochs)).drop("source")
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    wanted = wanted.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    wanted = wanted.withColumn("whole", whole)
+    wanted = wanted.withColumn("rest", F.round(F.col("target") - whole * F.col("source_size")).cast("long"))
     # Places are spread evenly, so their leading bits cut every source into even parts.
     levels = {
         "coarse": F.shiftright("place", 52),
         "fine": F.shiftright("place", 40),
     }
     drawn = running_totals(_groups(rows), ["group"], levels, ["place", "number"], {"upto": F.col("size")})
-    # Nothing is left to draw after a whole last repetition, so no document exceeds the epochs.
-    fits = (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)
-    drawn = stored(join_small(drawn, wanted, ["group"]).withColumn("taken", fits).drop("upto"), "drawn")
-    picked = _picked(drawn, wanted).select("number", F.lit(True).alias("picked"))
-    count = F.col("whole") + (F.col("taken") | F.coalesce("picked", F.lit(False))).cast("int")
-    joined = join_small(drawn, picked, ["number"], "left").withColumn("copies", count.cast("long"))
-    return joined.drop("group", "whole", "rest", "taken", "picked")
+    joined = join_small(drawn, wanted, ["group"])
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size")))
+    return joined.withColumn("taken", F.col("whole") * F.col("size") + extra).drop("group", "whole", "rest", "upto")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies.
+    """One row per document: doc_id, size, source_size, target, taken.
 
     Sizes are numbers of words, 0 for a null text. A null source is a source of
     its own and comes last. Documents without words take nothing. Rows are drawn
@@ -142,15 +118,14 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     are drawn each, null ids too. Other columns are ignored.
     """
     rows = stored(sized(docs).withColumn("number", F.monotonically_increasing_id()), "sizes")
-    return copies(rows, **settings).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
-    )
+    return shares(rows, **settings).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def repeated(docs: DataFrame, **settings) -> DataFrame:
-    """Every row of the documents, with all its columns, as often as the mix takes it."""
+    """Every row of the documents, with all its columns, as often as the mix takes it; fractions round to the nearest."""
     rows = stored(sized(docs).withColumn("number", F.monotonically_increasing_id()), "sizes")
-    taken = copies(rows, **settings).groupBy(F.col("row").alias("_row"), F.col("mark").alias("_mark"))
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
+    taken = shares(rows, **settings).withColumn("copies", copies).groupBy(F.col("row").alias("_row"), F.col("mark").alias("_mark"))
     # Equal rows are drawn each but can't be told apart, so they share their copies out evenly.
     taken = taken.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     keyed = docs.select("*", id_order().alias("_row"), text_mark().alias("_mark")).join(taken, ["_row", "_mark"])

@@ -49,7 +49,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
