@@ -10,10 +10,11 @@ Inner products are turned into distances by one more component: entries are
 lengthened to the longest vector's norm with it, queries have 0 there, so near
 means a large product whatever the lengths.
 
-Entries are stored by their first centroid, in shares of bounded size, so a
-centroid with most of the entries is searched by many tasks. A query is sent to
-the shares of the first centroids it visits, with the second centroids it
-visits there. Queries are dealt into blocks of bounded size as well.
+Entries are stored by their first centroid: centroids with few entries together
+in one region, and a region with many in shares of bounded size, so a centroid
+with most of the entries is searched by many tasks. A query is sent to the
+shares of the regions it visits, with the cells it visits there. Queries are
+dealt into blocks of bounded size as well.
 """
 
 from __future__ import annotations
@@ -23,18 +24,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railwatch.session import stored
 
 NEAREST = 20
 EVERY = 20
-CENTROIDS = 32
+CENTROIDS = 64
 SAMPLE_ROWS = 8192
 ROUNDS = 12
 # Entries to rerank: this part of all, and this many at least.
-VISIT = 0.2
+VISIT = 0.5
 VISIT_LEAST = 2000
 SHARE_ROWS = 4096
 BLOCK_QUERIES = 8192
@@ -139,21 +140,34 @@ def _assigned(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     return run
 
 
+def _regions(entries: np.ndarray) -> list[np.ndarray]:
+    """First centroids in runs that hold ``SHARE_ROWS`` entries or are one centroid with more."""
+    out, open_, rows = [], [], 0
+    for first, count in enumerate(entries):
+        open_.append(first)
+        rows += count
+        if rows >= SHARE_ROWS or first == len(entries) - 1:
+            out.append(np.array(open_))
+            open_, rows = [], 0
+    return out
+
+
 def _routed(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A row for each share of each first centroid that a query visits."""
+    """A row for each share of each region that a query visits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, filled, shares, wanted = shared.value
+        index, filled, regions, shares, wanted = shared.value
         for frame in frames:
             if not len(frame):
                 continue
             rows = []
             visits = index.visited(_matrix(list(frame["v"]), index.width), filled, wanted)
             for vec_id, v, seen in zip(frame["vec_id"], frame["v"], visits):
-                for first in np.flatnonzero(seen.any(axis=1)):
-                    cells = np.packbits(seen[first]).tobytes()
-                    rows += [(vec_id, v, cells, int(first), share) for share in range(shares[first])]
-            yield pd.DataFrame(rows, columns=["query_id", "v", "cells", "first", "share"])
+                for region, firsts in enumerate(regions):
+                    if seen[firsts].any():
+                        cells = np.packbits(seen[firsts].ravel()).tobytes()
+                        rows += [(vec_id, v, cells, region, share) for share in range(shares[region])]
+            yield pd.DataFrame(rows, columns=["query_id", "v", "cells", "region", "share"])
 
     return run
 
@@ -165,7 +179,7 @@ def _reranked(shared, nearest: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd
         if not len(entries) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         entries = entries.sort_values("vec_id", kind="stable")
-        ids, second = entries["vec_id"].to_numpy(), entries["second"].to_numpy()
+        ids, cell = entries["vec_id"].to_numpy(), entries["cell"].to_numpy()
         points = _matrix(list(entries["v"]), index.width)
         out = []
         for at in range(0, len(queries), 256):
@@ -175,7 +189,7 @@ def _reranked(shared, nearest: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd
             # Rounded, so that equal vectors tie however the product was blocked; the few kept are scored anew.
             scale = np.sqrt((wanted**2).sum(axis=1, keepdims=True)) * index.longest
             scores = np.round(wanted @ points.T / scale, 12)
-            scores[~seen[:, second] | (ids == asked[:, None])] = -np.inf
+            scores[~seen[:, cell] | (ids == asked[:, None])] = -np.inf
             order = np.argsort(-scores, axis=1, kind="stable")[:, : nearest + 8]
             keep = np.isfinite(np.take_along_axis(scores, order, axis=1))
             found = (wanted[:, None, :] * points[order]).sum(axis=2)
@@ -215,20 +229,29 @@ def nearest_neighbours(
     filled = np.zeros((len(index.first), len(index.second)), np.int64)
     for row in entries.groupBy("first", "second").count().collect():  # one row per cell, at most CENTROIDS squared
         filled[row["first"], row["second"]] = row["count"]
-    shares = np.maximum(1, -(-filled.sum(axis=1) // SHARE_ROWS))
+    regions = _regions(filled.sum(axis=1))
+    shares = [int(max(1, -(-filled[firsts].sum() // SHARE_ROWS))) for firsts in regions]
     wanted = max(VISIT_LEAST, int(np.ceil(visit * filled.sum())))
-    plan = spark.sparkContext.broadcast((index, filled, shares.tolist(), wanted))
-    shares_of = F.element_at(F.array(*(F.lit(int(n)) for n in shares)), F.col("first") + 1)
+    plan = spark.sparkContext.broadcast((index, filled, regions, shares, wanted))
+
+    def of_first(values: list[int]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("first") + 1)
+
+    region = of_first([r for r, firsts in enumerate(regions) for _ in firsts])
+    # Cells are numbered within their region.
+    cell = of_first([i for firsts in regions for i in range(len(firsts))]) * len(index.second) + F.col("second")
+    share = F.pmod(F.xxhash64("vec_id"), of_first([shares[r] for r, firsts in enumerate(regions) for _ in firsts]))
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    dealt = entries.select("*", F.pmod(F.xxhash64("vec_id"), shares_of).cast("int").alias("share"), every_block)
+    dealt = entries.select("vec_id", "v", cell.alias("cell"), region.alias("region"), share.cast("int").alias("share"), every_block)
     queries = asked.mapInPandas(
-        _routed(plan), "query_id long, v array<double>, cells binary, first int, share int"
+        _routed(plan), "query_id long, v array<double>, cells binary, region int, share int"
     ).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    keys = ["region", "share", "block"]
     found = (
-        dealt.groupBy("first", "share", "block")
-        .cogroup(queries.groupBy("first", "share", "block"))
+        dealt.groupBy(*keys)
+        .cogroup(queries.groupBy(*keys))
         .applyInPandas(_reranked(shared, nearest), "query_id long, vec_id long, score double")
     )
     return ranked(found, nearest).select("query_id", "rank", "vec_id", "score")
