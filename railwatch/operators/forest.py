@@ -18,7 +18,8 @@ from railwatch.functions import ranks
 from railwatch.functions.chunks import map_chunks
 from railwatch.functions.joins import join_small
 from railwatch.functions.scalars import observation_tier
-from railwatch.operators.vectors import SEGMENT, training_rows
+from railwatch.operators.vectors import SEGMENT, forest_vectors, training_rows
+from railwatch.session import stored
 
 TREES = 100
 SAMPLE_ROWS = 256
@@ -44,13 +45,34 @@ def tier_counts(tiers: DataFrame) -> DataFrame:
     )
 
 
+def upgraded_parties(snapshots: DataFrame) -> DataFrame:
+    """Parties that have outgrown the segment model, which scores and clusters them all the same."""
+    return party_tiers(snapshots).filter(F.col("tier") != "SEGMENT_BASELINE")
+
+
 def check_tiers(snapshots: DataFrame) -> None:
     """Raise where any party has outgrown the segment model."""
-    upgraded = party_tiers(snapshots).filter(F.col("tier") != "SEGMENT_BASELINE").limit(1).collect()
+    upgraded = upgraded_parties(snapshots).limit(1).collect()
     if upgraded:
         raise UpgradedTierError(f"{upgraded[0]['party_id']} needs a {upgraded[0]['tier']} model")
 
 
+def segment_scores(snapshots: DataFrame, on_upgraded_tier: str = "error") -> DataFrame:
+    """Rescaled score of every snapshot under its segment's forest.
+
+    Parties with enough history for a model of their own are refused, or with
+    ``on_upgraded_tier="baseline"`` scored by the segment's; ``upgraded_parties``
+    lists them.
+    """
+    if on_upgraded_tier == "error":
+        check_tiers(snapshots)
+    elif on_upgraded_tier != "baseline":
+        raise ValueError(f"on_upgraded_tier must be error or baseline, not {on_upgraded_tier}")
+    rows = stored(forest_vectors(snapshots), "forest_vectors")
+    models = stored(forest_models(tree_samples(rows)), "forest_models")
+    return rescaled(stored(forest_scores(rows, models), "forest_raw"))
+
+
 def tree_samples(vectors: DataFrame, trees: int = TREES, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """Up to ``sample_rows`` training rows per segment and tree.
 

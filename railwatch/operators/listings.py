@@ -31,24 +31,27 @@ def _matching(rows: DataFrame, **wanted: str | None) -> DataFrame:
 def issues(
     ranked: DataFrame, tenant: str, issue_type: str | None = None, priority_level: str | None = None
 ) -> DataFrame:
-    return _matching(
+    """Issues of a tenant, newest first."""
+    found = _matching(
         ranked,
         tenant_bank_id=tenant,
         issue_type=issue_type and issue_type.upper(),
         priority_level=priority_level and priority_level.capitalize(),
     )
+    return found.orderBy(F.desc("detected_at"), "issue_id")
 
 
 def breaks(
     ranked: DataFrame, tenant: str, detection_type: str | None = None, priority_level: str | None = None
 ) -> DataFrame:
-    return _matching(
+    """Breaks of a tenant, newest first."""
+    found = _matching(
         ranked,
         tenant_bank_id=tenant,
         detection_type=detection_type and detection_type.upper(),
         priority_level=priority_level and priority_level.capitalize(),
     )
-
+    return found.orderBy(F.desc("detected_at"), "break_id")
 
 
 def snapshots(
@@ -72,9 +75,17 @@ def cases(
     start: dt.date | None = None,
     end: dt.date | None = None,
 ) -> DataFrame:
-    """Cases in a window of their real event time."""
+    """Cases in a window of their real event time, newest first."""
     found = _matching(anchored, tenant_bank_id=tenant, priority_level=priority_level and priority_level.capitalize())
-    return found.filter(day_in_range(F.col("anchor_ts"), start, end))
+    return found.filter(day_in_range(F.col("anchor_ts"), start, end)).orderBy(F.desc("opened_at"), "case_code")
+
+
+def beneficiaries(
+    rows: DataFrame, tenant: str, beneficiary_key: str | None = None, start: dt.date | None = None, end: dt.date | None = None
+) -> DataFrame:
+    """Beneficiary weeks of a tenant by key and week; one of them has the snapshot's id."""
+    found = _matching(rows, tenant_bank_id=tenant, beneficiary_key=beneficiary_key)
+    return found.filter(day_in_range(F.col("window_end"), start, end)).orderBy("beneficiary_key", "window_start")
 
 
 def party_features(features: DataFrame, tenant: str | None = None, party_type: str | None = None) -> DataFrame:

@@ -110,7 +110,7 @@ def entity_snapshots(
         marked = windowed.withColumn("hot", F.lit(None).cast("boolean"))
         hot_medians = None
     else:
-        marked = windowed.join(F.broadcast(hot), window, "left")
+        marked = join_small(windowed, hot, window, "left")
         hot_medians = ranks.median(marked.filter("hot"), window, "amount", "hot_median")
     features = marked.groupBy(*window, "window_start").agg(*_window_features())
     combined = features.join(marked.groupBy(*window).agg(*_collected_features()), window)

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,7 @@ from railwatch.plans.oracles import statement
 from railwatch.plans.testdata import AS_OF, DETECTED_AT
 from railwatch.plans.workbench import Workbench
 from railwatch.schema import MAPPED_FIELDS
+from railwatch.session import InputState, input_state
 from railwatch.sources import layouts, mapping, merge
 from railwatch.sources.files import POSITION
 
@@ -48,15 +49,15 @@ class Query(NamedTuple):
 
 
 _REGISTRY: dict[str, Query] = {}
-_BENCHES: dict[tuple[SparkSession, str], Workbench] = {}
+_BENCHES: dict[tuple[SparkSession, str], tuple[InputState, Workbench]] = {}
 
 
 def workbench(spark: SparkSession, sf_dir: str) -> Workbench:
-    """One set of stage tables per session and folder, as a nightly run would build them."""
-    key = (spark, sf_dir)
-    if key not in _BENCHES:
-        _BENCHES[key] = Workbench(spark, sf_dir)
-    return _BENCHES[key]
+    """One set of stage tables per session and state of a folder, as a nightly run would build them."""
+    key, state = (spark, sf_dir), input_state(spark, f"{sf_dir}/events.parquet")
+    if key not in _BENCHES or _BENCHES[key][0] != state:
+        _BENCHES[key] = (state, Workbench(spark, sf_dir))
+    return _BENCHES[key][1]
 
 
 def forget() -> None:
@@ -478,7 +479,11 @@ def isolation_forest(w: Workbench) -> DataFrame:
     return w.forest_scores
 
 
-@query()
+# Ranks within a segment are unique, so the rescaled scores run evenly from 0 to 100.
+@query(
+    """SELECT tenant_bank_id, segment, count(DISTINCT party_id) AS parties, count(*) FILTER (split = 'train') AS train_rows, count(*) AS rows_scored, 0.0::DOUBLE AS score_min,
+ CASE WHEN count(*) > 1 THEN 100.0 ELSE 0.0 END::DOUBLE AS score_max, CASE WHEN count(*) > 1 THEN 50.0 ELSE 0.0 END::DOUBLE AS score_median FROM snap GROUP BY ALL"""
+)
 def forest_summary(w: Workbench) -> DataFrame:
     return forest.score_summary(w.snapshots, w.forest_scores)
 
@@ -498,6 +503,45 @@ def cluster_summary(w: Workbench) -> DataFrame:
     return density.cluster_summary(w.clustered)
 
 
+@query("SELECT tenant_bank_id, segment, count(*) AS rows_clustered, count(DISTINCT party_id) AS distinct_parties FROM snap GROUP BY ALL")
+def cluster_coverage(w: Workbench) -> DataFrame:
+    return density.cluster_summary(w.clustered).select("tenant_bank_id", "segment", "rows_clustered", "distinct_parties")
+
+
+# Signals derived from a digest of the snapshot, which SQL can state too.
+_DERIVED = """(SELECT *, CASE WHEN window_type = 'WEEKLY' THEN cluster_id <> lag(cluster_id) OVER (PARTITION BY tenant_bank_id, party_id, window_type ORDER BY window_start) END AS cluster_changed
+ FROM (SELECT *, ('0x' || substr(md5(snapshot_id), 1, 2))::INTEGER % 3 AS cluster_id, ('0x' || substr(md5(snapshot_id), 3, 2))::INTEGER % 101 AS forest_score FROM snap))"""
+
+
+def _derived_signals(w: Workbench) -> DataFrame:
+    def digits(start: int) -> Column:
+        return F.conv(F.substring(F.md5(F.col("snapshot_id").cast("binary")), start, 2), 16, 10).cast("int")
+
+    rows = w.snapshots.withColumn("cluster_id", digits(1) % 3).withColumn("isolation_forest_score", (digits(3) % 101).cast("double"))
+    return density.with_cluster_change(rows)
+
+
+@query(f"SELECT snapshot_id, cluster_changed FROM {_DERIVED}")
+def derived_cluster_changes(w: Workbench) -> DataFrame:
+    return _derived_signals(w).select("snapshot_id", "cluster_changed")
+
+
+@query(
+    f"""SELECT snapshot_id, round(score, 6) AS final_anomaly_score, CASE WHEN score < 30 THEN 'Normal' WHEN score < 60 THEN 'Low-Medium' WHEN score < 80 THEN 'High' ELSE 'Critical' END AS anomaly_band
+ FROM (SELECT snapshot_id, 0.4::DOUBLE * forest_score + 0.25::DOUBLE * CASE WHEN cluster_changed THEN 100.0 ELSE 0.0 END + 0.35::DOUBLE * coalesce(timeseries_drift_score, 0.0) AS score FROM {_DERIVED})"""
+)
+def derived_final_scores(w: Workbench) -> DataFrame:
+    return scoring.with_final_score(_derived_signals(w)).select("snapshot_id", "final_anomaly_score", "anomaly_band")
+
+
+@query(
+    """SELECT tenant_bank_id, segment, party_id, n AS observations, CASE WHEN n > 200 THEN 'FULL_MODEL' ELSE 'ENTITY_SPECIFIC' END AS tier
+ FROM (SELECT tenant_bank_id, segment, party_id, sum(transaction_count)::BIGINT AS n FROM snap GROUP BY ALL) WHERE n >= 50"""
+)
+def tier_warnings(w: Workbench) -> DataFrame:
+    return forest.upgraded_parties(w.snapshots)
+
+
 @query()
 def cluster_sizes(w: Workbench) -> DataFrame:
     return density.cluster_sizes(w.clustered)
@@ -606,6 +650,12 @@ def snapshot_listing(w: Workbench) -> DataFrame:
     return found.select("snapshot_id", "categories")
 
 
+@query(f"SELECT snapshot_id, beneficiary_key, transaction_count FROM ben {_END_WINDOW} AND tenant_bank_id = 'BANK_0'")
+def beneficiary_listing(w: Workbench) -> DataFrame:
+    found = listings.beneficiaries(w.beneficiaries, "BANK_0", start=START, end=END)
+    return found.select("snapshot_id", "beneficiary_key", "transaction_count")
+
+
 # --- health and review --------------------------------------------------------
 
 _HEALTH = """SELECT tenant_bank_id, score AS health_score, CASE WHEN score >= 85 THEN 'Healthy' WHEN score >= 70 THEN 'Watch' WHEN score >= 50 THEN 'At Risk' ELSE 'Critical' END AS health_band,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from railwatch.functions.scalars import labelled
 from railwatch.schema import CONFIRMED, DISMISSED
-from railwatch.session import prepare, spread
+from railwatch.session import input_state, prepare, spread
 
 AS_OF = dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc)
 DETECTED_AT = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
@@ -37,7 +37,8 @@ def _with_parts(raw: DataFrame) -> DataFrame:
 
 
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _with_parts(spread(raw_events(spark, sf_dir)))
+    size = input_state(spark, f"{sf_dir}/events.parquet").size
+    e = _with_parts(spread(raw_events(spark, sf_dir), size))
     k, event_id, user = F.col("k"), F.col("event_id"), F.col("user_id").cast("string")
     merchant, individual = F.col("cohort") < 3, F.col("cohort") >= 3
     retry = (k % 20) == 3

@@ -76,10 +76,7 @@ class Workbench:
 
     @cached_property
     def forest_scores(self) -> DataFrame:
-        rows = stored(vectors.forest_vectors(self.snapshots), "forest_vectors")
-        models = stored(forest.forest_models(forest.tree_samples(rows)), "forest_models")
-        scores = stored(forest.forest_scores(rows, models), "forest_raw")
-        return stored(forest.rescaled(scores), "forest_scores")
+        return stored(forest.segment_scores(self.snapshots, on_upgraded_tier="baseline"), "forest_scores")
 
     @cached_property
     def clustered(self) -> DataFrame:

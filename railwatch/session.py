@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Inputs up to this many bytes are dealt out over the cores before they are used.
+SMALL_INPUT = 256 << 20
 
 # Settings that change results, so every job needs them.
 REQUIRED_SETTINGS = {
@@ -37,14 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _fallback_folder
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a scan that has fewer splits than the cluster has cores.
+class InputState(NamedTuple):
+    """Size and last change of the files under a path."""
 
-    A large input already has more splits than that and is left alone, so this
-    only ever shuffles small data.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size: int
+    changed: dt.datetime | None
+
+
+def input_state(spark: SparkSession, path: str) -> InputState:
+    """From the listing alone; no file is opened."""
+    files = spark.read.format("binaryFile").load(path)
+    return InputState(*files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.max("modificationTime")).first())
+
+
+def spread(df: DataFrame, size: int) -> DataFrame:
+    """Deal out an input of few bytes, which would be read in fewer splits than there are cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

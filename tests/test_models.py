@@ -153,6 +153,19 @@ def test_tree_is_cut_alike_in_blocks_of_any_size(spark, seed):
     assert len(expected[1]) > 2
 
 
+def test_upgraded_parties_are_refused_or_scored(spark):
+    columns = "snapshot_id string, tenant_bank_id string, segment string, party_id string, split string, transaction_count long"
+    schema = ", ".join([columns, *(f"{f} double" for f in vectors.FOREST_FEATURES if f != "transaction_count")])
+    values = [None] * (len(vectors.FOREST_FEATURES) - 1)
+    table = spark.createDataFrame([(f"s{i}", "T", "S", f"p{i % 3}", "train", 30 * (i % 3), *values) for i in range(9)], schema)
+    assert {(r.party_id, r.tier) for r in forest.upgraded_parties(table).collect()} == {("p1", "ENTITY_SPECIFIC"), ("p2", "ENTITY_SPECIFIC")}
+    with pytest.raises(forest.UpgradedTierError):
+        forest.segment_scores(table)
+    with pytest.raises(ValueError):
+        forest.segment_scores(table, on_upgraded_tier="ignore")
+    assert forest.segment_scores(table, on_upgraded_tier="baseline").count() == 9
+
+
 def test_components_of_links(spark):
     links = spark.createDataFrame([("a", i, i + 1) for i in range(30)] + [("b", 3, 2), ("b", 7, 7)], "g string, node long, to long")
     got = {(r.g, r.node): r.root for r in roots(links, ["g"]).collect()}
