@@ -172,7 +172,7 @@ def identify(docs: DataFrame) -> DataFrame:
     first by name) and ``score`` that cosine, cut to 0 to 1. Null texts, texts
     without letters, and all texts if nothing could be learned, are ``und`` with
     score 0. Null ids are not held out; repeated rows are predicted each. Other
-    columns are ignored.
+    columns are ignored. Every language takes a megabyte of each worker.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang", "text")
     found = prototypes(rows.filter("not held_out")).orderBy("lang").collect()  # one vector per language

@@ -31,19 +31,18 @@ def word_count(text: str = "text") -> Column:
 def _weighted(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     """Give sources their weights in turn, in the order of their names, null last.
 
-    Names are counted by their first characters, so no task sorts them all.
+    Ranges of names are counted before they are numbered, so no task sorts them
+    all. Names compare by their UTF-8 bytes, which is the order of code points.
     """
-    name = F.coalesce("source", F.lit(""))
-    first = F.coalesce(F.ascii(name), F.lit(0))
-    levels = {
-        "null": F.col("source").isNull().cast("int"),
-        "first": first,
-        "second": F.coalesce(F.ascii(F.substring(name, 2, 1)), F.lit(0)),
-        "third": F.coalesce(F.ascii(F.substring(name, 3, 1)), F.lit(0)),
-    }
-    placed = running_totals(sources, [], levels, [name], {"place": F.lit(1)})
+    order = [F.col("source").isNull(), F.col("source")]
+    ranges = stored(sources.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row per task
+    counts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1 + F.col("before")
     turns = F.array(*(F.lit(float(w)) for w in weights))
-    return placed.withColumn("weight", F.element_at(turns, (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int")))
+    turn = (F.pmod(place, F.lit(len(weights))) + 1).cast("int")
+    return join_small(ranges, counts, ["range"]).withColumn("weight", F.element_at(turns, turn))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:

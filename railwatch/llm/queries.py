@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railwatch.llm import ann, exact_search, language_id, mixing, packing, quality, simhash, substring_dedup, token_counts, url_filter
+from railwatch.llm import (
+    ann,
+    exact_search,
+    language_id,
+    mixing,
+    oracles,
+    packing,
+    quality,
+    simhash,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
 from railwatch.session import prepare
 
 
@@ -77,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_exact_top_k": oracles.EXACT_TOP_K}
