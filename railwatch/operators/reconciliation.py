@@ -7,10 +7,13 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railwatch.functions.scalars import parse_iso
+from railwatch.operators.parties import party_id
 from railwatch.schema import CONFIRMED_BREAK, PROVISIONAL_VARIANCE
 
 
 def reconciliation_breaks(events: DataFrame, detected_at: dt.datetime) -> DataFrame:
+    """Breaks with the time and party of the event they are found in."""
     variance = F.col("reconciliation_variance_amount")
     detection = F.when(F.col("reconciliation_status") == "BREAK", CONFIRMED_BREAK).when(
         variance != 0.0, PROVISIONAL_VARIANCE
@@ -29,6 +32,8 @@ def reconciliation_breaks(events: DataFrame, detected_at: dt.datetime) -> DataFr
             variance.alias("variance_amount"),
             "amount",
             F.to_json("reconciliation_details").alias("details"),
+            parse_iso(F.col("transaction_occurred_at")).alias("occurred_ts"),
+            party_id().alias("party_id"),
             F.lit(detected_at).cast("timestamp").alias("detected_at"),
         )
     )

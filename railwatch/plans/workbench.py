@@ -96,7 +96,7 @@ class Workbench:
 
     @cached_property
     def issues(self) -> DataFrame:
-        return operations.operational_issues(self.events, self.snapshots, AS_OF, DETECTED_AT)
+        return stored(operations.operational_issues(self.events, self.snapshots, AS_OF, DETECTED_AT), "issues")
 
     @cached_property
     def found_issues(self) -> DataFrame:
@@ -112,7 +112,7 @@ class Workbench:
 
     @cached_property
     def found_breaks(self) -> DataFrame:
-        return stored(lookup.with_break_event(self.breaks, self.events), "found_breaks")
+        return stored(self.breaks, "found_breaks")
 
     @cached_property
     def ranked_breaks(self) -> DataFrame:
