@@ -37,8 +37,10 @@ ROUNDS = 12
 # Entries to rerank: this part of all, and this many at least.
 VISIT = 0.5
 VISIT_LEAST = 2000
-SHARE_ROWS = 4096
+SHARE_ROWS = 16384
 BLOCK_QUERIES = 8192
+# Cells are traversed by so many queries in a task.
+ROUTED_QUERIES = 128
 SEED = 5
 
 
@@ -190,7 +192,7 @@ def _reranked(shared, nearest: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd
             scale = np.sqrt((wanted**2).sum(axis=1, keepdims=True)) * index.longest
             scores = np.round(wanted @ points.T / scale, 12)
             scores[~seen[:, cell] | (ids == asked[:, None])] = -np.inf
-            order = np.argsort(-scores, axis=1, kind="stable")[:, : nearest + 8]
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :nearest]
             keep = np.isfinite(np.take_along_axis(scores, order, axis=1))
             found = (wanted[:, None, :] * points[order]).sum(axis=2)
             out.append(
@@ -242,10 +244,12 @@ def nearest_neighbours(
     cell = of_first([i for firsts in regions for i in range(len(firsts))]) * len(index.second) + F.col("second")
     share = F.pmod(F.xxhash64("vec_id"), of_first([shares[r] for r, firsts in enumerate(regions) for _ in firsts]))
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    asked = stored(asked, "asked")
+    count = asked.count()
+    blocks = max(1, -(-count // BLOCK_QUERIES))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     dealt = entries.select("vec_id", "v", cell.alias("cell"), region.alias("region"), share.cast("int").alias("share"), every_block)
-    queries = asked.mapInPandas(
+    queries = asked.repartition(max(1, -(-count // ROUTED_QUERIES)), "vec_id").mapInPandas(
         _routed(plan), "query_id long, v array<double>, cells binary, region int, share int"
     ).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     keys = ["region", "share", "block"]
