@@ -6,7 +6,8 @@ what a piece is compressed with and not the text before it, and every piece is
 compressed with both. The difference of the summed sizes, divided by their sum,
 says which dictionary knows the text better. A logistic curve, fitted on
 labelled texts that the dictionaries have not seen, turns it into a
-probability.
+probability. A few bytes say little, so the evidence counts by the length of
+the text, and without any the score is the share of good labels.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railwatch.llm.common import bounded_batches, held_out, raw, schema_of
+from railwatch.session import stored
 
 PIECE_BYTES = 256
 DICTIONARY_BYTES = 112_640
@@ -31,8 +33,11 @@ TEXTS_PER_LABEL = 2000
 SAMPLE_PIECES = 16
 # A fourth of the texts drawn fits the curve instead of a dictionary.
 CURVE_PART = 4
+# Evidence of so many bytes counts half.
+HALF_BYTES = 100
 
-Model = tuple[bytes, bytes, float, float]
+# Dictionaries of good and bad text; slope and offset of the curve; log odds of a good label.
+Model = tuple[bytes, bytes, float, float, float]
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -60,41 +65,45 @@ class _Scorer:
         return (bad - good) / (bad + good) if good else 0.0
 
 
-def _drawn(documents: DataFrame, labels: DataFrame) -> list:
-    """Up to ``TEXTS_PER_LABEL`` labelled texts of each label outside the held-out fold, in a seeded order.
+def _clear(labels: DataFrame) -> DataFrame:
+    """doc_id and quality outside the held-out fold, without documents that have labels of both kinds."""
+    known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out()).groupBy("doc_id")
+    both = known.agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most"))
+    return both.filter("quality = most").select("doc_id", "quality")
 
-    Documents with labels of both kinds, or whose id several rows share, are left out.
+
+def _drawn(documents: DataFrame, clear: DataFrame) -> list:
+    """Up to ``TEXTS_PER_LABEL`` labelled texts of each label in a seeded order, as pieces from all over the text.
+
+    Of rows that share an id one is used.
     """
-    order = F.xxhash64(F.lit(SEED), "doc_id")
-    clear = (
-        labels.filter("doc_id is not null and quality in (0, 1)")
-        .filter(~held_out())
-        .groupBy("doc_id")
-        .agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most"))
-        .filter("quality = most")
-        .withColumn("order", order)
-    )
+    clear = clear.withColumn("order", F.xxhash64(F.lit(SEED), "doc_id"))
     chosen = None
     for label in (0, 1):
         part = clear.filter(F.col("quality") == label).orderBy("order", "doc_id").limit(TEXTS_PER_LABEL).select("doc_id", "quality", "order")
         chosen = part if chosen is None else chosen.unionByName(part)
     text = F.encode(F.col("text"), "utf-8")
-    # A piece starts at a seeded place of each even part of the text.
+    # Pieces stand at even distances.
     count = F.least(F.lit(SAMPLE_PIECES), F.ceil(F.octet_length("text") / PIECE_BYTES)).cast("int")
     step = F.octet_length("text") / count
-    sample = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(PIECE_BYTES)))
+    places = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.floor(i * step).cast("int") + 1)
+    sample = F.transform(places, lambda at: F.substring(text, at, F.lit(PIECE_BYTES)))
     found = documents.join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") > 0)
-    rows = found.select("doc_id", "quality", "order", sample.alias("sample"))
-    return sorted(rows.collect(), key=lambda r: (r.order, r.doc_id, r.sample))
+    rows = found.groupBy("doc_id", "quality", "order").agg(F.min(sample).alias("sample"))
+    return sorted(rows.collect(), key=lambda r: (r.order, r.doc_id))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, by Newton's method with a small ridge."""
-    scale = x.std() or 1.0
-    points = np.column_stack([x / scale, np.ones(len(x))])
-    weights = np.zeros(2)
+def _evidence(length: np.ndarray) -> np.ndarray:
+    return length / (length + HALF_BYTES)
+
+
+def _logistic(x: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the evidence beside the log odds of ``y``, by Newton's method with a small ridge."""
+    scale, share = x.std() or 1.0, y.mean()
+    points = np.column_stack([x / scale, np.ones(len(x))]) * _evidence(length)[:, None]
+    weights, before = np.zeros(2), np.log(share / (1 - share))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(points @ weights, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(points @ weights + before, -30, 30)))
         gradient = points.T @ (y - p) - 1e-2 * weights
         hessian = (points * (p * (1 - p))[:, None]).T @ points + 1e-2 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
@@ -105,7 +114,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary of at most a tenth of the samples; a plain one of the samples themselves where training fails."""
+    """A dictionary of at most a fourth of the samples' size; empty where they are too few to train one."""
     size = min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 4))
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -115,7 +124,11 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     """Both dictionaries and the curve; None where one label has too little text to learn from."""
-    rows = _drawn(documents, labels)
+    clear = stored(_clear(labels), "clear")
+    share = clear.agg(F.avg("quality")).first()[0]
+    if share in (None, 0.0, 1.0):
+        return None
+    rows = _drawn(documents, clear)
     parts: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
     for row in rows:
         learn, check = parts[row.quality]
@@ -124,13 +137,16 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     if not good or not bad:
         return None
     scorer = _Scorer(good, bad)
-    x, y = [], []
+    x, length, y = [], [], []
     for label, (_, check) in parts.items():
-        x += [scorer.difference(b"".join(sample)) for sample in check]
-        y += [label] * len(check)
+        texts = [b"".join(sample) for sample in check]
+        x += map(scorer.difference, texts)
+        length += map(len, texts)
+        y += [label] * len(texts)
     if len(set(y)) < 2:
         return None
-    return good, bad, *_logistic(np.array(x), np.array(y, float))
+    curve = _logistic(np.array(x), np.array(length, float), np.array(y, float))
+    return good, bad, *curve, float(np.log(share / (1 - share)))
 
 
 def bytes_of(sample) -> list[bytes]:
@@ -143,10 +159,12 @@ def _scored(shared, score: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = _Scorer(*model[:2]) if model else None
-        slope, offset = model[2:] if model else (0.0, 0.0)
+        slope, offset, before = model[2:] if model else (0.0, 0.0, 0.0)
         for batch in batches:
-            found = [scorer.difference(t or b"") if scorer else 0.0 for t in raw(batch.column("text"))]
-            scores = 1 / (1 + np.exp(-np.clip(slope * np.array(found, float) + offset, -700, 700)))
+            texts = [t or b"" for t in raw(batch.column("text"))]
+            found = np.array([scorer.difference(t) if scorer else 0.0 for t in texts], float)
+            odds = before + _evidence(np.array([len(t) for t in texts], float)) * (slope * found + offset)
+            scores = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, score])
 
     return run
@@ -161,7 +179,7 @@ def score(documents: DataFrame, labels: DataFrame, model: Model | None = None) -
     """One row per document: doc_id, held_out, score, predicted (1: good).
 
     The score is the probability of label 1. It is read off the whole text alone.
-    Null and empty texts have a difference of 0. Where the labels teach nothing
+    Null and empty texts give no evidence. Where the labels teach nothing
     (none, or of one kind) every score is 0.5. Null ids are not held out;
     repeated rows are scored each; other columns are ignored.
     """
