@@ -29,15 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railwatch.functions.components import roots
 from railwatch.llm import golay
 from railwatch.llm.common import bounded_batches, id_order, numbers, raw, text_mark
-from railwatch.llm.components import roots
 from railwatch.session import stored
 
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 TILE = 4096
+# A task turns so many fingerprints into about 180 keys each.
+KEYED_AT_ONCE = 20_000
 
 _SEGMENTS = ((0, 23), (23, 23), (46, 18))
 _SHINGLES_AT_ONCE = 50_000
@@ -203,8 +205,10 @@ def _links_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def near_links(prints: DataFrame) -> DataFrame:
     """(node, to): links between distinct ``print`` values that connect all within ``MAX_BITS`` bits."""
+    tasks = max(1, -(-prints.count() // KEYED_AT_ONCE))
     found = stored(
         bounded_batches(prints.select("print").distinct())
+        .repartition(tasks, "print")
         .mapInArrow(_keyed, "key long, print long")
         .repartition("key")
         .sortWithinPartitions("key")
