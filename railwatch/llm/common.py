@@ -29,8 +29,8 @@ def id_order(name: str = "doc_id") -> Column:
 
 
 def text_mark(name: str = "text") -> Column:
-    """A few bits of a hash of the text, which tell rows apart that share an id; 0 for a null text."""
-    return F.coalesce(F.xxhash64(name).bitwiseAND(F.lit(0xFFFF)), F.lit(0)).cast("long")
+    """A hash of the text, which tells rows apart that share an id; 0 for a null text."""
+    return F.when(F.col(name).isNotNull(), F.xxhash64(name)).otherwise(F.lit(0)).cast("long")
 
 
 def schema_of(df: DataFrame, *names: str) -> str:

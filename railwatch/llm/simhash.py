@@ -76,7 +76,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, its sort key, a few bits of a hash of the text, and the fingerprint of every row."""
+    """doc_id, its sort key, a hash of the text, and the fingerprint of every row."""
     return (
         bounded_batches(docs)
         .select(

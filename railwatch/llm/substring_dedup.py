@@ -40,9 +40,9 @@ from railwatch.session import stored
 WINDOW = 20
 GRAM = 8
 
-# A place is a word offset below a few bits of the text's hash, which tell rows that share an id apart.
-_PLACE_BITS = 40
-_PATH = ("prefix", "whole", "row", "place")
+# ``mark``, a hash of the text, tells rows that share an id apart; a place is a word offset.
+_PATH = ("prefix", "whole", "row", "mark", "place")
+_PATH_KINDS = ", ".join(f"{c} long" for c in _PATH)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -99,16 +99,16 @@ def _sieve_rows(words: np.ndarray, window: int) -> np.ndarray:
 def _sieve_keys(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for row, text in zip(numbers(batch.column("row")), raw(batch.column("text"))):
+            keys, owners, marks = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for row, mark, text in zip(numbers(batch.column("row")), numbers(batch.column("mark")), raw(batch.column("text"))):
                 words = (text or b"").split()
                 if len(words) >= window:
                     found = _sieve_rows(word_hashes(words), window)
                     keys.append(found)
                     owners.append(np.full(len(found), row, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["gram", "row"]
-            )
+                    marks.append(np.full(len(found), mark, np.int64))
+            arrays = [np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(marks)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["gram", "row", "mark"])
 
     return run
 
@@ -119,25 +119,26 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     What neighbouring tasks hold is not known here. Keeping a gram too many
     only lets a few more suffixes through.
     """
-    held = None
+    names, held = ["gram", "row", "mark"], None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        gram, row = numbers(batch.column("gram")), numbers(batch.column("row"))
+        rows = np.column_stack([numbers(batch.column(n)) for n in names])
         if held is not None:
-            gram, row = np.concatenate([held[0], gram]), np.concatenate([held[1], row])
+            rows = np.vstack([held[0], rows])
+        gram = rows[:, 0]
         same = gram[1:] == gram[:-1]
         keep = np.zeros(len(gram), bool)
         keep[1:] |= same
         keep[:-1] |= same
         keep[0] = True  # the first row of a task, or one carried over and already known to be kept or lone
-        if held is not None and not held[2]:
+        if held is not None and not held[1]:
             keep[0] = same[0] if len(same) else False
-        keep_last = keep[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(gram[:-1][keep[:-1]]), pa.array(row[:-1][keep[:-1]])], ["gram", "row"])
-        held = (gram[-1:], row[-1:], bool(keep_last))
+        kept = rows[:-1][keep[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(kept[:, i]) for i in range(3)], names)
+        held = (rows[-1:], bool(keep[-1]))
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["gram", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0][:, i]) for i in range(3)], names)
 
 
 def _suffixes(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -156,12 +157,10 @@ def _suffixes(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 if not len(at):
                     continue
                 prefix, whole = run_names(hashes, min(GRAM, window))[at], run_names(hashes, window)[at]
-                place = at + (np.int64(mark) << _PLACE_BITS)
-                parts.append((prefix.view(np.int64), whole.view(np.int64), np.full(len(at), row, np.int64), place))
+                owner = (np.full(len(at), row, np.int64), np.full(len(at), mark, np.int64))
+                parts.append((prefix.view(np.int64), whole.view(np.int64), *owner, at))
             if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*parts)], ["prefix", "whole", "row", "place"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], list(_PATH))
 
     return run
 
@@ -196,7 +195,7 @@ def _leaf_rows(paths: np.ndarray, number: int | None, head: bool | None) -> pa.R
     count = len(paths)
     known = [pa.array(paths[:, i]) if number is not None else pa.nulls(count, pa.int64()) for i in (0, 1)]
     arrays = [pa.array([number] * count, pa.int32()), pa.array([head] * count, pa.bool_()), *known]
-    arrays += [pa.array(paths[:, 2]), pa.array(paths[:, 3])]
+    arrays += [pa.array(paths[:, i]) for i in (2, 3, 4)]
     return pa.RecordBatch.from_arrays(arrays, ["number", "head", *_PATH])
 
 
@@ -220,13 +219,11 @@ def _without(window: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch
         for batch in batches:
             whole, kept, sizes, removed = [], [], [], []
             there = batch.column("text").is_valid().to_pylist()
-            columns = (numbers(batch.column("mark")), _expanded(batch.column("text")), there, batch.column("places"))
-            for mark, text, known, places in zip(*columns):
+            for text, known, places in zip(_expanded(batch.column("text")), there, batch.column("places")):
                 words = text.split()
                 whole.append(text if known else None)
                 sizes.append(len(words))
                 starts = numbers(places.values) if places.is_valid else np.empty(0, np.int64)
-                starts = starts[starts >> _PLACE_BITS == mark] & ((1 << _PLACE_BITS) - 1)
                 if len(starts):
                     change = np.zeros(len(words) + 1, np.int64)
                     np.add.at(change, starts, 1)
@@ -247,20 +244,20 @@ def _without(window: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch
 
 
 def _repeat_places(packed: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """row, places: the starts of all windows that also start earlier."""
+    """row, mark, places: the starts of all windows that also start earlier."""
     grams = (
-        docs.mapInArrow(_sieve_keys(window), "gram long, row long")
-        .repartitionByRange("gram", "row")
+        docs.mapInArrow(_sieve_keys(window), "gram long, row long, mark long")
+        .repartitionByRange("gram", "row", "mark")
         .sortWithinPartitions("gram")
-        .mapInArrow(_shared_keys, "gram long, row long")
+        .mapInArrow(_shared_keys, "gram long, row long, mark long")
     )
-    shared = stored(grams.groupBy("row").agg(F.collect_set("gram").alias("grams")), "shared")
+    shared = stored(grams.groupBy("row", "mark").agg(F.collect_set("gram").alias("grams")), "shared")
     leaves = stored(
-        packed.join(shared, "row")
-        .mapInArrow(_suffixes(window), "prefix long, whole long, row long, place long")
+        packed.join(shared, ["row", "mark"])
+        .mapInArrow(_suffixes(window), _PATH_KINDS)
         .repartitionByRange(*_PATH)
         .sortWithinPartitions(*_PATH)
-        .mapInArrow(_leaves, "number int, head boolean, prefix long, whole long, row long, place long"),
+        .mapInArrow(_leaves, f"number int, head boolean, {_PATH_KINDS}"),
         "leaves",
     )
     ends = leaves.filter("not head").select(*(F.col(c).alias(f"end_{c}") for c in ("number", *_PATH)))
@@ -269,11 +266,12 @@ def _repeat_places(packed: DataFrame, docs: DataFrame, window: int) -> DataFrame
         (F.col("prefix") == F.col("end_prefix"))
         & (F.col("whole") == F.col("end_whole"))
         & (F.col("end_number") < F.col("number"))
-        & ((F.col("row") != F.col("end_row")) | (F.col("place") != F.col("end_place"))),
+        & ~((F.col("row") == F.col("end_row")) & (F.col("mark") == F.col("end_mark")) & (F.col("place") == F.col("end_place"))),
         "left_semi",
     )
-    repeats = leaves.filter("head is null").select("row", "place").unionByName(continued.select("row", "place"))
-    return repeats.groupBy("row").agg(F.collect_set("place").alias("places"))
+    where = ["row", "mark", "place"]
+    repeats = leaves.filter("head is null").select(*where).unionByName(continued.select(*where))
+    return repeats.groupBy("row", "mark").agg(F.collect_set("place").alias("places"))
 
 
 def _cut(docs: DataFrame, window: int, carried: list[str], made: list[str]) -> DataFrame:
@@ -284,10 +282,10 @@ def _cut(docs: DataFrame, window: int, carried: list[str], made: list[str]) -> D
     # Texts are shuffled twice, so they are compressed for it.
     kinds = f"{schema_of(keyed, 'along', 'row', 'mark')}, text binary"
     packed = keyed.mapInArrow(_compressed, kinds)
-    places = _repeat_places(packed.drop("along"), keyed.select("row", "text"), window)
+    places = _repeat_places(packed.drop("along"), keyed.select("row", "mark", "text"), window)
     types = {"text": "string", "kept": "string", "n_words": "long", "n_removed": "long"}
     kinds = ", ".join([schema_of(keyed, "along"), *(f"{n} {types[n]}" for n in made)])
-    return packed.join(places, "row", "left").mapInArrow(_without(window, ["along", *made]), kinds).select("along.*", *made)
+    return packed.join(places, ["row", "mark"], "left").mapInArrow(_without(window, ["along", *made]), kinds).select("along.*", *made)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -97,6 +97,12 @@ def test_one_of_each_group_stays(spark):
     assert len(got) == 3
 
 
+def test_different_texts_without_ids_all_stay(spark):
+    r = random.Random(5)
+    rows = [(None, " ".join(f"w{r.randrange(10_000)}" for _ in range(30))) for _ in range(1_500)]
+    assert len({t for _, t in rows}) == simhash.one_of_each(documents(spark, rows)).count() == 1_500
+
+
 def test_no_documents(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from railwatch.llm import queries, substring_dedup
 from tests.llm.brute import documents, without_repeats
@@ -77,6 +78,19 @@ def test_rows_that_share_an_id(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 30, 0), (1, 30, 0), (1, 30, 0), (2, 60, 60)]
 
 
+def test_texts_under_one_id_whose_hashes_end_alike(spark):
+    shared, seen = passage(13, 30), {}
+    for i in range(5_000):
+        text = f"{shared} {passage(1_000 + i, 3)}"
+        first = seen.setdefault(xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFF, text)
+        if first != text:
+            break
+    assert first != text
+    for doc_id in (None, 1):
+        got = substring_dedup.remove_repeats(documents(spark, [(doc_id, first), (doc_id, text)])).collect()
+        assert sorted((r.n_words, r.n_removed) for r in got) == [(33, 0), (33, 30)]
+
+
 def test_long_text(spark):
     text = passage(11, 120_000)
     got = result(substring_dedup.remove_repeats(documents(spark, [(1, text), (2, text)])))
