@@ -1,7 +1,7 @@
 """URL filtering by fixed rules and by association rules mined from labels.
 
-FP-growth mines combinations of URL tokens that go with bad labels. Rules are
-pruned by support and confidence, put into an inverted index by token, and a
+FP-growth mines combinations of URL tokens that enough bad pages hold. They are
+counted over the other labelled pages, pruned by confidence, put into an inverted index by token, and a
 URL is blocked if it holds all tokens of some rule: the index is joined to the
 URL's tokens and a rule fires where as many of its tokens were met as it has.
 Everything runs in DataFrame operations.
@@ -28,12 +28,11 @@ RULES = (
 )
 
 MIN_CONFIDENCE = 0.6
+# Once the least share of labelled rows; rules no longer depend on it.
 MIN_SUPPORT = 0.005
-# A rule needs this many bad rows at least, whatever the share asks for.
+# A rule needs this many bad rows, however many rows there are.
 MIN_ROWS = 20
 
-_BAD = "bad!"
-
 
 def _after_scheme(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
@@ -76,20 +75,41 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(words(host_of(url), "host:"), words(path_of(url), "path:"), words(rest, "query:")))
 
 
-def mined_rules(labelled: DataFrame) -> DataFrame:
-    """rule, items, size, confidence: token sets of ``labelled(url, bad)`` that go with bad rows."""
-    baskets = stored(
-        labelled.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array())).alias("items")),
-        "baskets",
+def _held_by(sets: DataFrame, baskets: DataFrame) -> DataFrame:
+    """rule, others: how many ``baskets(items)`` hold all items of each of ``sets(rule, items)``; none if no basket does.
+
+    A set is looked for only in the baskets that hold its rarest item.
+    """
+    tokens_of = baskets.select(F.explode("items").alias("token"), F.col("items").alias("basket"))
+    uses = tokens_of.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    each = sets.select("rule", "items", F.explode("items").alias("token")).join(uses, "token", "left")
+    rarest = each.groupBy("rule").agg(
+        F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token")).alias("rarest"), F.first("items").alias("items")
     )
-    rows = baskets.count()
-    if not rows:
+    looked_for = rarest.filter("rarest.uses > 0").select("rule", "items", F.col("rarest.token").alias("token"))
+    met = join_small(tokens_of, looked_for, ["token"]).filter(F.size(F.array_except("items", "basket")) == 0)
+    return met.groupBy("rule").agg(F.count(F.lit(1)).alias("others"))
+
+
+def mined_rules(labelled: DataFrame) -> DataFrame:
+    """rule, items, size, confidence: token sets of ``labelled(url, bad)`` that go with bad rows.
+
+    A set needs ``MIN_ROWS`` bad rows that hold it. Only bad rows are mined; the
+    other rows are counted for the sets found.
+    """
+    baskets = stored(labelled.select("bad", tokens(F.col("url")).alias("items")), "baskets")
+    harmful = baskets.filter("bad")
+    rows = harmful.count()
+    if rows < MIN_ROWS:
         return baskets.select(F.lit("").alias("rule"), "items", F.lit(0).alias("size"), F.lit(0.0).alias("confidence")).limit(0)
-    support = min(1.0, max(MIN_SUPPORT, MIN_ROWS / rows))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BAD)))
-    items = F.array_sort("antecedent")
-    return rules.select(F.concat_ws(" ", items).alias("rule"), items.alias("items"), F.size(items).alias("size"), "confidence")
+    # The product with the number of rows is rounded up, so half a row less asks for MIN_ROWS.
+    model = FPGrowth(itemsCol="items", minSupport=(MIN_ROWS - 0.5) / rows).fit(harmful)
+    items = F.array_sort("items")
+    sets = stored(model.freqItemsets.select(F.concat_ws(" ", items).alias("rule"), items.alias("items"), "freq"), "sets")
+    counted = sets.join(_held_by(sets, baskets.filter("not bad")), "rule", "left")
+    confidence = F.col("freq") / (F.col("freq") + F.coalesce("others", F.lit(0)))
+    rules = counted.select("rule", "items", F.size("items").alias("size"), confidence.alias("confidence"))
+    return stored(rules.filter(F.col("confidence") >= MIN_CONFIDENCE), "rules")
 
 
 def _fired(urls: DataFrame, rules: DataFrame) -> DataFrame:

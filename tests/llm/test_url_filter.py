@@ -98,6 +98,17 @@ def test_mined_rules_equal_counting(spark, labelled):
     assert got
 
 
+def test_as_many_bad_rows_make_a_rule_in_any_table(spark):
+    urls = [(f"http://pills.shop/buy/{i}", True) for i in range(url_filter.MIN_ROWS)]
+    urls += [(f"http://few.shop/buy/{i}", True) for i in range(url_filter.MIN_ROWS - 1)]
+    for others in (0, 8_000):
+        table = spark.createDataFrame(urls + [(f"http://books.shop/read/{i}", False) for i in range(others)], "url string, bad boolean")
+        rules = {tuple(r["items"]): r.confidence for r in url_filter.mined_rules(table).collect()}
+        assert rules[("host:pills",)] == 1.0
+        assert not any("host:few" in items for items in rules)
+        assert (("host:shop",) in rules) == (not others)
+
+
 def test_combination_blocks(spark, labelled):
     urls, marks = labelled
     more = ["http://pills.shop/buy/9999", "http://pills.shop/read/9999", "http://x.pills.shop/buy/?a=b", "http://pills.net/buy/1", None]
