@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railwatch.llm import mixing, packing, quality, simhash, substring_dedup
+from railwatch.llm import mixing, packing, quality, shingle_dedup, substring_dedup
 from railwatch.session import prepare, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,8 +26,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return shingle_dedup.one_of_each(docs.select(*COLUMNS))
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,9 +57,8 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
     return [hash_of(flat[a:b], SEED) for a, b in zip(starts.tolist(), last)]
 
 
-def fingerprint(text: bytes) -> int:
-    """Majority of the shingle hashes' bits, as an unsigned integer; 0 without words."""
-    hashes = shingle_hashes(text)
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """Majority of the hashes' bits, as an unsigned integer; 0 without any."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _SHINGLES_AT_ONCE):
         part = np.array(hashes[at : at + _SHINGLES_AT_ONCE], "<u8").view(np.uint8)
@@ -68,6 +67,11 @@ def fingerprint(text: bytes) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: bytes) -> int:
+    """Majority of the shingle hashes' bits; 0 without words."""
+    return majority(shingle_hashes(text))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t or b"") for t in raw(batch.column("text"))], np.uint64)
