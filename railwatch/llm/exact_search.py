@@ -12,7 +12,7 @@ The thresholds start from a fixed number of rows that every query is scored
 against first, the longest and some drawn by hash: the k-th best among any rows
 is a lower bound for the k-th best of all. A bucket is cut into shares of
 bounded size and the queries into blocks; a block is sent to the shares that
-its loosest query cannot skip. Within a share the thresholds tighten further.
+its loosest query cannot skip. All shares are pruned by these first thresholds.
 """
 
 from __future__ import annotations
