@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railwatch.functions.components import roots
+from railwatch.functions.joins import join_small
 from railwatch.llm import simhash
 from railwatch.llm.common import bounded_batches, id_order, numbers, raw, text_mark
+from railwatch.llm.substring_dedup import _compressed, _expanded
 from railwatch.session import stored
 
 SHINGLE = 5
@@ -73,7 +75,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.empty(0, np.uint64), *map(shingle_set, raw(batch.column("text")))]
+        found = [np.empty(0, np.uint64), *map(shingle_set, _expanded(batch.column("text")))]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
 
@@ -84,7 +86,7 @@ def _prefixes(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         frequent, uses = shared.value  # ascending, with their counts
         for batch in batches:
             parts = []
-            for node, text in zip(numbers(batch.column("node")).tolist(), raw(batch.column("text"))):
+            for node, text in zip(numbers(batch.column("node")).tolist(), _expanded(batch.column("text"))):
                 found = shingle_set(text)
                 if not len(found):
                     continue
@@ -108,7 +110,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, others = numbers(batch.column("node")), numbers(batch.column("to"))
         keep = np.zeros(len(nodes), bool)
-        for i, (node, text, other) in enumerate(zip(nodes, raw(batch.column("text")), raw(batch.column("other")))):
+        for i, (node, text, other) in enumerate(zip(nodes, _expanded(batch.column("text")), _expanded(batch.column("other")))):
             if node != held:
                 held, mine = node, shingle_set(text)
             keep[i] = similar(mine, shingle_set(other))
@@ -116,7 +118,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, to) of ``pairs`` whose sets are similar."""
+    """(node, to) of ``pairs`` whose sets are similar; only texts of nodes in pairs are shuffled while those are few."""
+    pairs = stored(pairs, "pairs")
+    asked = pairs.select("node").unionByName(pairs.select(F.col("to").alias("node"))).distinct()
+    texts = stored(join_small(texts, asked, ["node"], "left_semi"), "asked")
     both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("to"), F.col("text").alias("other")), "to")
     rows = both.select("node", "to", "text", "other").repartition("node", "to").sortWithinPartitions("node")
     return stored(rows.mapInArrow(_verified, "node long, to long"), "verified")
@@ -191,7 +196,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # The text of one row stands for its node.
     chosen = nodes.groupBy("node", "print").agg(F.min(F.struct("row", "mark")).alias("least"))
     chosen = stored(chosen.select("node", "print", "least.row", "least.mark"), "chosen")
-    texts = stored(rows.join(chosen, ["row", "mark"]).dropDuplicates(["row", "mark"]).select("node", "text"), "texts")
+    packed = rows.mapInArrow(_compressed, "row long, mark long, text binary")
+    texts = stored(packed.join(chosen.select("row", "mark", "node"), ["row", "mark"]).dropDuplicates(["row", "mark"]).select("node", "text"), "texts")
     classes = _classed(chosen, _links(chosen.select("node", "print"), texts))
     least = classes.groupBy("class").agg(F.min(F.struct("row", "mark")).alias("least"))
     least = least.select(F.col("least.row").alias("_row"), F.col("least.mark").alias("_mark"))
