@@ -89,6 +89,18 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
         carried = letters[-2:]
 
 
+def _counted(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of all parts of a text, and how often each occurs in the whole."""
+    kinds, times = np.empty(0, np.int32), np.empty(0, np.int64)
+    for part in parts:
+        found, n = np.unique(part, return_counts=True)
+        if len(kinds):
+            found, at = np.unique(np.concatenate([kinds, found]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([times, n])).astype(np.int64)
+        kinds, times = found, n
+    return kinds, times
+
+
 def _bundled(counts: np.ndarray) -> np.ndarray:
     """Sum of the vectors of all trigrams, each as often as it counts."""
     vectors = _letter_vectors()
@@ -142,13 +154,8 @@ def _predicted(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for batch in batches:
             best, scores = [], []
             for text in batch.column("text").to_pylist():
-                products, square = np.zeros(len(langs)), 0
-                for found in trigrams(text or ""):
-                    found = np.sort(found)
-                    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-                    times = np.diff(np.append(starts, len(found)))
-                    products += times @ table[found[starts]]
-                    square += int(times @ times)
+                kinds, times = _counted(trigrams(text or ""))
+                products, square = times @ table[kinds], int(times @ times)
                 lettered = square and any(c.isalpha() for c in text)
                 if lettered and langs:
                     cosines = products / np.sqrt(float(DIMENSIONS) * square)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from railwatch.llm import language_id, quality, queries
@@ -113,3 +114,16 @@ def test_language_query_on_held_out_rows(spark):
     known = {r.doc_id: r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     rows = [r for r in queries.op10_language_id(spark, FOLDER).collect() if r.held_out]
     assert np.mean([r.lang_pred == known[r.doc_id] for r in rows]) > 0.97
+
+
+def test_score_of_a_text_does_not_depend_on_its_parts(monkeypatch):
+    text = " ".join(["the quick brown fox jumps over the lazy dog"] * 50)
+    whole = [c.tolist() for c in language_id._counted(language_id.trigrams(text))]
+    monkeypatch.setattr(language_id, "_AT_ONCE", 100)
+    assert [c.tolist() for c in language_id._counted(language_id.trigrams(text))] == whole
+    vector = np.random.default_rng(0).normal(size=language_id.DIMENSIONS)
+    shared = type("Shared", (), {"value": (["en"], [language_id._bundled(np.bincount(whole[0], whole[1], language_id._TRIGRAMS)) + vector])})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "held_out": [False], "text": [text]})
+    parts = next(language_id._predicted(shared)(iter([batch]))).column("score")[0].as_py()
+    monkeypatch.undo()
+    assert parts == next(language_id._predicted(shared)(iter([batch]))).column("score")[0].as_py()
