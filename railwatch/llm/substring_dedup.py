@@ -1,4 +1,9 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees.
+"""Removal of repeated passages by sorting hashed windows in the order of a suffix tree's paths.
+
+No tree is built: every window of fixed length is named by hashes and sorted
+(prefix of 8 words, then the whole window), and equal neighbours are repeats.
+The contract asks for repeats of one length only, so nodes at other depths are
+not needed. In the terms of a tree:
 
 A suffix starts at every word. Cut off at ``window`` words, the suffixes of all
 documents form a tree whose inner nodes at full depth are the repeated
