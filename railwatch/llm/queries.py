@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from railwatch.llm import (
     ann,
+    byte_bpe,
     exact_search,
     language_id,
     mixing,
@@ -72,6 +73,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    hashes = {"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
+    return byte_bpe.decode(encoded, ranks).withColumns(hashes).drop("ids", "decoded")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     jobs = (
         op1_substring_dedup,
@@ -84,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mixing,
         op9_exact_top_k,
         op10_language_id,
+        op11_byte_bpe,
     )
     return {job.__name__: job for job in jobs}
 
