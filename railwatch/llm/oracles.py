@@ -20,3 +20,19 @@ WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x:
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
+
+LEXICAL_SEARCH = r"""
+WITH cut AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+ total AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS terms FROM cut WHERE len(terms) > 0),
+ asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ held AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM cut)
+  WHERE term IN (SELECT term FROM asked) GROUP BY row, term),
+ weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, total GROUP BY term, docs),
+ worth AS (SELECT row, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(c.terms) * docs) // total.terms))) AS score
+  FROM held JOIN weight USING (term) JOIN cut c USING (row), total),
+ summed AS (SELECT item_id, row, sum(score)::BIGINT AS score FROM asked JOIN worth USING (term) GROUP BY item_id, row HAVING sum(score) > 0)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM summed JOIN cut USING (row)
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 50
+"""

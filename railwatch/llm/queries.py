@@ -13,6 +13,7 @@ from railwatch.llm import (
     byte_bpe,
     exact_search,
     language_id,
+    lexical_search,
     mixing,
     oracles,
     packing,
@@ -80,6 +81,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(encoded, ranks).withColumns(hashes).drop("ids", "decoded")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     jobs = (
         op1_substring_dedup,
@@ -93,9 +98,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_exact_top_k,
         op10_language_id,
         op11_byte_bpe,
+        op12_lexical_search,
     )
     return {job.__name__: job for job in jobs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_exact_top_k": oracles.EXACT_TOP_K}
+    return {
+        "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op9_exact_top_k": oracles.EXACT_TOP_K,
+        "op12_lexical_search": oracles.LEXICAL_SEARCH,
+    }
