@@ -22,6 +22,7 @@ from railwatch.llm import (
     substring_dedup,
     token_counts,
     url_filter,
+    whitening,
 )
 from railwatch.session import prepare
 
@@ -85,6 +86,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     jobs = (
         op1_substring_dedup,
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_language_id,
         op11_byte_bpe,
         op12_lexical_search,
+        op13_embedding_whitening,
     )
     return {job.__name__: job for job in jobs}
 
