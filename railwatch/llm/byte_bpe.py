@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 
 from railwatch.llm.common import bounded_batches
 
-# The cache holds pre-tokens up to this many characters, and is emptied at this many entries.
+# The young cache holds pre-tokens up to this many characters, and starts anew at this many entries, with the last ones behind it.
 CACHED_CHARACTERS = 48
 CACHE_ENTRIES = 400_000
 
-# Pre-tokens of a long text are taken in steps of this many.
+# Texts are encoded in steps of so many characters, ids decoded in steps of so many.
 STEP = 1 << 18
 
 ID = np.dtype("<u4")
@@ -123,9 +123,10 @@ def merge_all(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
     queue = RankQueue(ranks.size)
     order = np.argsort(first, kind="stable")
     order = order[np.searchsorted(first[order], 0) :]
-    for places in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
-        if len(places):
-            queue.push(int(first[places[0]]), places.tolist())
+    cuts = [0, *(np.flatnonzero(np.diff(first[order])) + 1).tolist(), len(order)] if len(order) else [0]
+    heads, places = first[order[cuts[:-1]]].tolist(), order.tolist()
+    for rank, a, b in zip(heads, cuts, cuts[1:]):
+        queue.push(rank, places[a:b])
     # A symbol is a span from its start to ``end``; ``pair`` is the rank of a span joined with the next one, -1 for none.
     pair, token = first.tolist(), ranks.of_one[codes].tolist()
     end, before = list(range(1, n + 1)), np.arange(-1, n - 1)
@@ -176,37 +177,69 @@ def merge_all(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts with a cache of the ids of short pre-tokens, packed as little-endian unsigned 32-bit integers."""
+    """Encodes texts with a cache of the ids of short pre-tokens, packed as little-endian unsigned 32-bit integers.
+
+    The cache is two dictionaries: when the young one is full it becomes the old
+    one, whose entries move up again when they are met. So rare pre-tokens leave
+    and frequent ones stay.
+    """
 
     def __init__(self, ranks: Ranks, pattern: str):
-        self.ranks, self.pattern, self.cache = ranks, regex.compile(pattern), {}
-
-    def _step(self, pieces: list[str]) -> bytes:
-        """Ids of consecutive pre-tokens; those that the cache lacks are merged together."""
-        found = list(map(self.cache.get, pieces))
-        if None not in found:
-            return b"".join(found)
-        new = list({p for p, f in zip(pieces, found) if f is None})
-        known = {p: self.ranks.rank.get(p.encode()) for p in new}
-        packed = {p: np.array([r], ID).tobytes() for p, r in known.items() if r is not None}
-        rest = [p for p in new if known[p] is None]
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens that the young cache lacks; those that the old one lacks too are merged together."""
+        packed = {p: i for p, i in zip(new, map(self.old.get, new)) if i is not None}
+        rest = [p for p in new if p not in packed]
+        whole = [self.ranks.rank.get(p.encode()) for p in rest]
+        packed.update((p, np.array([r], ID).tobytes()) for p, r in zip(rest, whole) if r is not None)
+        rest = [p for p, r in zip(rest, whole) if r is None]
         packed.update(zip(rest, merge_all([p.encode() for p in rest], self.ranks)))
         short = {p: i for p, i in packed.items() if len(p) <= CACHED_CHARACTERS}
-        if len(self.cache) + len(short) > CACHE_ENTRIES:
-            self.cache.clear()
-        self.cache.update(short)
-        return b"".join(packed[p] if f is None else f for p, f in zip(pieces, found))
+        if len(self.young) + len(short) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        self.young.update(short)
+        return packed
+
+    def _step(self, pieces: list[list[str]]) -> list[bytes]:
+        """Ids of several lists of pre-tokens."""
+        known = self.young
+        found = [list(map(known.get, p)) for p in pieces]
+        lacking = [n for n, f in enumerate(found) if None in f]
+        if lacking:
+            packed = self._learn(list({p for n in lacking for p, f in zip(pieces[n], found[n]) if f is None}))
+            for n in lacking:
+                found[n] = [packed[p] if f is None else f for p, f in zip(pieces[n], found[n])]
+        return list(map(b"".join, found))
 
     def encode(self, text: str) -> bytes:
-        if len(text) <= STEP:
-            return self._step(self.pattern.findall(text))
-        parts, pieces = [], []
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Short texts go together, long ones in parts, so a step is never much longer than ``STEP``."""
+        out: list[bytes] = []
+        waiting, size = [], 0
+        for text in texts:
+            if size + len(text) > STEP and waiting:
+                out += self._step(waiting)
+                waiting, size = [], 0
+            if len(text) > STEP:
+                out.append(self._long(text))
+            else:
+                waiting.append(self.pattern.findall(text))
+                size += len(text)
+        return out + self._step(waiting)
+
+    def _long(self, text: str) -> bytes:
+        parts, pieces, at = [], [], 0
         for match in self.pattern.finditer(text):
             pieces.append(match.group())
-            if len(pieces) == STEP:
-                parts.append(self._step(pieces))
-                pieces = []
-        return b"".join([*parts, self._step(pieces)])
+            if match.end() - at > STEP:
+                parts += self._step([pieces])
+                pieces, at = [], match.end()
+        return b"".join(parts + self._step([pieces]))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -231,9 +264,9 @@ def decoded(ids: bytes, ranks: Ranks) -> bytes:
 
 def _encoding(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode
+        encode = encoder(path, pattern).encode_all
         for batch in batches:
-            ids = [encode(text.as_py() or "") for text in batch.column("text")]
+            ids = encode([text or "" for text in batch.column("text").to_pylist()])
             arrays = [batch.column("doc_id"), pa.array([len(i) // ID.itemsize for i in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids"])
 

@@ -80,10 +80,18 @@ def test_cache_is_bounded(ranks, monkeypatch):
     encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
     text = " ".join(f"w{n}x{n * 7919}" for n in range(400))
     packed = encoder.encode(text)
-    assert byte_bpe.decoded(packed, ranks) == text.encode() and len(encoder.cache) <= 50
+    assert byte_bpe.decoded(packed, ranks) == text.encode() and max(len(encoder.young), len(encoder.old)) <= 50
     assert packed == byte_bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(text)
 
 
+def test_texts_together_equal_texts_alone(ranks, monkeypatch):
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("ab c\n") for _ in range(draw.randrange(0, 90))) for _ in range(300)]
+    alone = [byte_bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(t) for t in texts]
+    monkeypatch.setattr(byte_bpe, "STEP", 60)
+    assert byte_bpe.Encoder(ranks, public_tokenizers.PATTERN).encode_all(texts) == alone
+
+
 def test_vocabulary_without_all_bytes_is_refused():
     with pytest.raises(ValueError, match="255 of the 256"):
         byte_bpe.Ranks([(b"a", 0)])
