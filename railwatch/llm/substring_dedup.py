@@ -44,6 +44,10 @@ from railwatch.session import stored
 
 WINDOW = 20
 GRAM = 8
+# Ranges are cut by runs of words from about so many documents, and by so many runs at most.
+# They only decide which task sorts what.
+RANGE_DOCUMENTS = 4096
+RANGE_ROWS = 50_000
 
 # ``mark``, a hash of the text, tells rows that share an id apart; a place is a word offset.
 _PATH = ("prefix", "whole", "row", "mark", "place")
@@ -248,20 +252,61 @@ def _without(window: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
+def _range_of(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of the ascending bounds are not above each row, comparing column by column."""
+    at = np.searchsorted(bounds[:, 0], rows[:, 0], side="right")
+    # Rows that agree with a bound in the first column are few, unless a run of words is very frequent.
+    tied = np.flatnonzero(np.searchsorted(bounds[:, 0], rows[:, 0], side="left") < at)
+    if len(tied):
+        both = np.vstack([bounds, rows[tied]])
+        is_row = np.arange(len(both)) >= len(bounds)
+        order = np.lexsort((is_row, *both.T[::-1]))
+        below = np.cumsum(~is_row[order])
+        at[tied[order[is_row[order]] - len(bounds)]] = below[is_row[order]]
+    return at
+
+
+def _with_range(function: Callable, columns: tuple[str, ...], shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of ``function`` with the number of the range they belong to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in function(batches):
+            rows = np.column_stack([numbers(batch.column(c)) for c in columns])
+            parts = _range_of(rows, shared.value).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts)], [*batch.schema.names, "part"])
+
+    return run
+
+
+def _in_ranges(docs: DataFrame, some: DataFrame, function: Callable, columns: tuple[str, ...]) -> DataFrame:
+    """The rows that ``function`` makes of the documents, sorted, each range of them in a task of its own.
+
+    Ranges are cut by what ``some`` of the documents give, so only those go through
+    ``function`` twice; a frequent run of words falls into as many ranges as it fills.
+    """
+    spark = docs.sparkSession
+    kinds = ", ".join(f"{c} long" for c in columns)
+    drawn = some.mapInArrow(function, kinds).orderBy(F.xxhash64(*columns)).limit(RANGE_ROWS).collect()
+    found = np.array(sorted(tuple(r) for r in drawn), np.int64).reshape(-1, len(columns))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = np.linspace(0, len(found), parts + 1)[1:-1].astype(int)
+    shared = spark.sparkContext.broadcast(np.unique(found[cuts], axis=0) if len(found) else found)
+    rows = docs.mapInArrow(_with_range(function, columns, shared), f"{kinds}, part int")
+    return rows.repartitionById(parts, "part").drop("part").sortWithinPartitions(*columns)
+
+
 def _repeat_places(packed: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """row, mark, places: the starts of all windows that also start earlier."""
+    one_in = F.lit(max(1, docs.count() // RANGE_DOCUMENTS))
+    some = F.pmod(F.xxhash64("row", "mark"), one_in) == 0
     grams = (
-        docs.mapInArrow(_sieve_keys(window), "gram long, row long, mark long")
-        .repartitionByRange("gram", "row", "mark")
-        .sortWithinPartitions("gram")
+        _in_ranges(docs, docs.filter(some), _sieve_keys(window), ("gram", "row", "mark"))
         .mapInArrow(_shared_keys, "gram long, row long, mark long")
     )
     shared = stored(grams.groupBy("row", "mark").agg(F.collect_set("gram").alias("grams")), "shared")
+    sifted = packed.join(shared, ["row", "mark"])
     leaves = stored(
-        packed.join(shared, ["row", "mark"])
-        .mapInArrow(_suffixes(window), _PATH_KINDS)
-        .repartitionByRange(*_PATH)
-        .sortWithinPartitions(*_PATH)
+        _in_ranges(sifted, packed.filter(some).join(shared, ["row", "mark"]), _suffixes(window), _PATH)
         .mapInArrow(_leaves, f"number int, head boolean, {_PATH_KINDS}"),
         "leaves",
     )
