@@ -3,7 +3,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from railwatch.llm import mixing, quality
-from tests.llm.brute import components, documents, fingerprint, ids_of, without_repeats, words
+from tests.llm.brute import documents, ids_of, without_repeats, words
+from tests.llm.test_shingle_dedup import least_of_classes
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -21,13 +22,9 @@ def test_every_stage_against_brute_force(spark):
     assert rows.keys() == accepted and len(accepted) > 0.6 * docs.count()
 
     ids = sorted(rows)
-    groups = components([fingerprint(rows[i].text) for i in ids])
-    least = {}
-    for i, g in zip(ids, groups):
-        least.setdefault(g, i)
     single = stages["simhash_near_dedup"](spark, documents(spark, [tuple(rows[i])[:4] for i in ids]), FOLDER)
     singles = {r.doc_id: r for r in single.collect()}
-    assert sorted(singles) == sorted(least.values())
+    assert sorted(singles) == least_of_classes([(i, rows[i].text) for i in ids])
 
     kept = documents(spark, [tuple(r)[:4] for r in singles.values()])
     clean = {r.doc_id: r for r in stages["substring_dedup"](spark, kept, FOLDER).collect()}

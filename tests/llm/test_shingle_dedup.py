@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from railwatch.llm import shingle_dedup
 from tests.llm.brute import documents
 
@@ -62,3 +65,18 @@ def test_real_documents(spark):
 
 def test_a_prefix_meets_every_similar_set():
     assert [shingle_dedup.prefix_size(n) for n in (1, 4, 5, 10, 11)] == [1, 1, 2, 3, 3]
+
+
+def test_bitmaps_rule_out_no_similar_pair(spark):
+    draw = random.Random(8)
+    rows, want = [], []
+    for n in (3, 20, 120, 900, 4000):
+        for change in (0.0, 0.03, 0.1, 0.2, 1.0):
+            a = np.array(sorted({draw.getrandbits(64) for _ in range(n)}), np.uint64)
+            b = np.array(sorted({x if draw.random() >= change else draw.getrandbits(64) for x in a.tolist()}), np.uint64)
+            rows.append((len(a), len(b), *(shingle_dedup.parity_bitmap(x).tolist() for x in (a, b))))
+            want.append(shingle_dedup.similar(a, b))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, sa long, sb long, a array<long>, b array<long>")
+    may = table.select("i", shingle_dedup.may_be_similar(*(F.col(c) for c in ("sa", "sb", "a", "b"))).alias("may"))
+    got = [r.may for r in may.orderBy("i").collect()]
+    assert all(g or not w for g, w in zip(got, want)) and sum(got) < len(got) and sum(want) > 5
