@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from railwatch.functions.joins import join_small
 from railwatch.functions.ranks import running_totals
-from railwatch.llm.common import WORD_PATTERN, id_order, text_mark
+from railwatch.llm.common import WORD_PATTERN, id_order
 from railwatch.session import stored
 
 WEIGHTS = (3, 1, 2)
@@ -65,6 +65,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epoc
     return sources.withColumn("target", F.least(F.col("weight") * F.lit(level), cap)).select("source", "source_size", "target")
 
 
+def row_mark(columns: list[str]) -> Column:
+    """A hash of all columns of a row, nulls included: rows with equal marks are repeated rows."""
+    return F.xxhash64(*(c for name in columns for c in (F.col(name), F.col(name).isNull())))
+
+
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, size and a seeded place in the drawing order, for every row.
 
@@ -77,7 +82,7 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
         word_count().alias("size"),
         place.alias("place"),
         id_order().alias("row"),
-        text_mark().alias("mark"),
+        row_mark(docs.columns).alias("mark"),
     )
 
 
@@ -125,9 +130,9 @@ def repeated(docs: DataFrame, **settings) -> DataFrame:
     rows = stored(sized(docs).withColumn("number", F.monotonically_increasing_id()), "sizes")
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
     taken = shares(rows, **settings).withColumn("copies", copies).groupBy(F.col("row").alias("_row"), F.col("mark").alias("_mark"))
-    # Equal rows are drawn each but can't be told apart, so they share their copies out evenly.
+    # Rows are equal if all their columns are. Equal rows are drawn each but can't be told apart, so they share their copies out evenly.
     taken = taken.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.select("*", id_order().alias("_row"), text_mark().alias("_mark")).join(taken, ["_row", "_mark"])
+    keyed = docs.select("*", id_order().alias("_row"), row_mark(docs.columns).alias("_mark")).join(taken, ["_row", "_mark"])
     nth = F.row_number().over(Window.partitionBy("_row", "_mark").orderBy("_row"))
     own = F.expr("_copies div _rows") + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("int")
     counted = keyed.withColumn("_nth", nth).withColumn("_own", own).filter("_own > 0")

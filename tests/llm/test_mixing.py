@@ -79,3 +79,21 @@ def test_repeated_rows_follow_the_mix(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     check(rows, queries.op8_source_mixing(spark, SMALL).collect())
+
+
+def test_copies_stay_with_their_source(spark):
+    """One id and text in two sources, and in rows that differ in another column only."""
+    text = "a b c"
+    rows = [(1, text, "en", "s1"), (1, text, "en", "s2"), (1, text, None, "s2"), (2, "d " * 300, "en", "s2"), (3, "e " * 9, "en", "s1")]
+    docs = documents(spark, rows)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken.setdefault((r.doc_id, r.source_size), []).append(round(r.taken / r.size))
+    copies = {}
+    for r in mixing.repeated(docs).collect():
+        copies[r.doc_id, r.source, r.lang] = copies.get((r.doc_id, r.source, r.lang), 0) + 1
+    assert [copies.get((1, "s1", "en"), 0)] == taken[1, 12]
+    assert sorted(copies.get((1, "s2", lang), 0) for lang in ("en", None)) == sorted(taken[1, 306])
+    words = sum(len(dict((r[0], r[1]) for r in rows)[i].split()) * n for (i, s, _), n in copies.items() if s == "s1")
+    target = next(r.target for r in mixing.mix(docs).collect() if r.source_size == 12)
+    assert abs(words - target) <= 9
