@@ -22,6 +22,8 @@ FALSE_TEXTS = ("false", "0", "no", "n", "f")
 _NUMBER_TEXT = r"(?i)^[+-]?(nan|inf|infinity|(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?)$"
 # Date, hour, minute, second, fraction and zone of an ISO text, with or without its dashes and colons.
 _ISO_DATE = r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+_PLAIN_ZONE = r"(?:Z|[+-][0-9]{2}:[0-9]{2})$"
+_PLAIN_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?(?:Z|[+-][0-9]{2}:[0-9]{2})?$"
 _ISO_TEXT = (
     _ISO_DATE + r"(?:[T ](\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
     r"(?:(Z)|([+-]\d{2})(?::?(\d{2}))?)?)?$"
@@ -78,9 +80,11 @@ def parse_iso(text: Column) -> Column:
     """An instant from an ISO text; no zone means UTC, unreadable means null.
 
     Dashes and colons may be left out, minutes and seconds too, also in the
-    zone. Fractions are cut to microseconds.
+    zone. Fractions are cut to microseconds. The plain extended form, which most
+    texts have, is cast as it is; only others are taken apart.
     """
-    return _instant(text, zoned=True)
+    plain = F.when(text.rlike(_PLAIN_TEXT), text).try_cast("timestamp")
+    return F.coalesce(plain, _instant(text, zoned=True))
 
 
 def _instant(text: Column, zoned: bool) -> Column:
@@ -96,7 +100,8 @@ def _instant(text: Column, zoned: bool) -> Column:
 
 def wall_clock(text: Column) -> Column:
     """The instant's own local reading, with its zone offset dropped."""
-    return _instant(text, zoned=False)
+    plain = F.when(text.rlike(_PLAIN_TEXT), F.regexp_replace(text, _PLAIN_ZONE, "")).try_cast("timestamp")
+    return F.coalesce(plain, _instant(text, zoned=False))
 
 
 def week_start(instant: Column) -> Column:

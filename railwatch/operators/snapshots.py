@@ -43,12 +43,14 @@ def dated_party_events(events: DataFrame) -> DataFrame:
 
 
 def undated_count(events: DataFrame) -> DataFrame:
-    """Resolved events per tenant that snapshots leave out for lack of a readable time."""
+    """Resolved events per tenant that snapshots leave out: those without a time, and those whose time cannot be read."""
     resolved = with_party(events).filter(F.col("party_id").isNotNull())
+    missing = F.col("transaction_occurred_at").isNull()
+    unreadable = ~missing & parse_iso(F.col("transaction_occurred_at")).isNull()
     return (
-        resolved.filter(parse_iso(F.col("transaction_occurred_at")).isNull())
-        .groupBy("tenant_bank_id")
-        .agg(F.count(F.lit(1)).alias("skipped_no_timestamp"))
+        resolved.groupBy("tenant_bank_id")
+        .agg(F.count_if(missing).alias("skipped_no_timestamp"), F.count_if(unreadable).alias("skipped_unreadable"))
+        .filter("skipped_no_timestamp > 0 or skipped_unreadable > 0")
     )
 
 

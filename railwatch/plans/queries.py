@@ -417,6 +417,17 @@ def entity_snapshots(w: Workbench) -> DataFrame:
     return w.snapshots.drop("timeseries_drift_score")
 
 
+@query(
+    """SELECT tenant_bank_id, count(*) FILTER (k % 17 = 0) AS skipped_no_timestamp, count(*) FILTER (k % 17 <> 0 AND k % 19 = 0) AS skipped_unreadable
+ FROM ev GROUP BY tenant_bank_id HAVING count(*) FILTER (k % 17 = 0 OR k % 19 = 0) > 0"""
+)
+def undated_count(w: Workbench) -> DataFrame:
+    """Events some of which have no time, and some one that cannot be read."""
+    k = _k(w.events)
+    text = F.when(k % 17 != 0, F.when(k % 19 == 0, F.concat(F.lit("at "), "transaction_occurred_at")).otherwise(F.col("transaction_occurred_at")))
+    return snapshots.undated_count(w.events.withColumn("transaction_occurred_at", text))
+
+
 @query(
     """SELECT s.tenant_bank_id, strftime(cutoff, '%Y-%m-%dT%H:%M:%SZ') AS cutoff, split, window_type, count(*) AS snapshots FROM snap s GROUP BY ALL"""
 )

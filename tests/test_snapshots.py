@@ -40,7 +40,8 @@ def test_weekly_and_to_date_rows(make_events):
     assert person.amount_std == pytest.approx(2**0.5)
     small = next(r for r in rows if r.party_id == "MER-SMALL")
     assert (small.amount_total, small.amount_std, small.near_threshold_ratio, small.unique_counterparties) == (None, None, None, None)
-    assert snapshots.undated_count(events).first().skipped_no_timestamp == 1
+    left_out = snapshots.undated_count(events).first()
+    assert (left_out.skipped_no_timestamp, left_out.skipped_unreadable) == (1, 1)
 
 
 def test_large_windows_take_the_ranked_median(make_events):
