@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railwatch.functions.skew import join_dealt
+
 # Buckets per doubling of the magnitude.
 _STEPS_PER_OCTAVE = 64
 _TIE_BUCKETS = 1024
@@ -194,7 +196,7 @@ def percent_at_or_below(
     ranks = counted.join(sizes, [*group, "__bucket"]).select(
         *group, value, (_upto(group, value) / F.col("group_rows") * 100.0).alias(output)
     )
-    return df.join(ranks, [*group, value], "left")
+    return join_dealt(df, ranks, [*group, value], "left")
 
 
 def row_rank(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railwatch.functions.scalars import account_type, non_empty
+from railwatch.functions.skew import join_dealt
 
 _PREFIX = {"merchant_id": "MER", "individual_id": "IND"}
 _MERCHANT_COLUMNS = ("legal_name", "merchant_account", "processor_name", "onboarded_by")
@@ -123,7 +124,7 @@ def resolve_events(
     ):
         if registry is not None:
             known = registry.select("tenant_bank_id", source, F.col(identity).alias(f"__{identity}"))
-            joined = joined.join(known, ["tenant_bank_id", source], "left")
+            joined = join_dealt(joined, known, ["tenant_bank_id", source], "left")
     both = _unresolved_merchant() & non_empty(F.col("source_individual_id")).isNotNull()
     merchant = _assign(merchants, "merchant_id", "source_merchant_id", _unresolved_merchant())
     individual = F.when(both, F.lit(None)).otherwise(

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from railwatch.functions.joins import join_small
 from railwatch.functions.scalars import percent_share
+from railwatch.functions.skew import join_dealt
 from railwatch.operators.lookup import issue_events
 from railwatch.schema import FLAGGED_BANDS, FRAUD, FUNNEL, OPERATIONAL, RECONCILIATION, SPIKE_ISSUES
+from railwatch.session import stored
 
 _INCIDENT = ("signal_type", "tenant_bank_id", "reference_id")
 
@@ -90,10 +92,10 @@ def incident_impact(
     )
     party_fraud = snapshots.filter(flagged).groupBy(*party).agg(F.sum("amount_total").alias("party_fraud"))
 
-    involved = _incident_parties(issues_with_events, events, breaks_with_events, snapshots)
+    involved = stored(_incident_parties(issues_with_events, events, breaks_with_events, snapshots), "involved")
+    exposed = party_breaks.join(party_fraud, party, "full_outer")
     other = (
-        involved.join(party_breaks, party, "left")
-        .join(party_fraud, party, "left")
+        join_dealt(involved, exposed, party)
         .groupBy(*_INCIDENT)
         .agg(
             F.coalesce(F.sum("party_breaks"), F.lit(0.0)).alias("reconciliation_exposure"),

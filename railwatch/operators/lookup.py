@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from railwatch.functions.joins import join_small
 from railwatch.functions.scalars import parse_iso
+from railwatch.functions.skew import join_dealt
 from railwatch.operators.parties import party_id
 from railwatch.schema import BATCH_NOT_SETTLED
 
@@ -60,7 +61,9 @@ def issue_events(issues: DataFrame, events: DataFrame) -> DataFrame:
     def matches(reference_type: str) -> DataFrame:
         key = _KEYS[reference_type]
         named = _of_type(issues, reference_type, "issue_id", "issue_type", "reference_type")
-        found = slim.filter(F.col(key).isNotNull()).join(named, ["tenant_bank_id", key])
+        held = slim.filter(F.col(key).isNotNull())
+        held = join_small(held, named.select("tenant_bank_id", key).distinct(), ["tenant_bank_id", key], "left_semi")
+        found = join_dealt(held, named, ["tenant_bank_id", key])
         return found.withColumn("reference_id", F.col(key)).drop("batch_id")
 
     return matches("TRANSACTION").unionByName(matches("BATCH"))
