@@ -12,7 +12,7 @@ their sets are similar enough, which is always verified on the whole sets.
    ``n - ceil(0.8 n) + 1`` of either. Any order is right; this one puts shingles
    last that are frequent among some documents, so that few nodes meet.
 3. Under a shingle, each node is compared with one leader at first, in a few
-   rounds with other leaders. What is joined by then needs no comparison; all
+   rounds with other leaders, starting with the first shingles of each node. What is joined by then needs no comparison; all
    other pairs whose sizes and places allow the similarity are compared.
 
 Beside each node lie its size and a parity bitmap of its set: bit b is the parity
@@ -43,10 +43,14 @@ from railwatch.session import stored
 SHINGLE = 5
 # Similarity asked for, in tenths.
 TENTHS = 8
-ROUNDS = 2
+# Rounds with leaders, each under so many first shingles of a node (None: all of its prefix). The short ones
+# join large groups of copies while few pairs are made.
+ROUNDS = (1, 4, 16, None, None)
 # Longs of a parity bitmap.
 BITMAP = 16
-# The order of shingles is learned from about so many sets; those in this many of them are frequent.
+# The order of shingles is learned from one in so many sets, from all where they are fewer than so many times
+# the second number; those in this many of them are frequent.
+ORDER_SHARE = 8
 ORDER_SETS = 10_000
 FREQUENT = 3
 FREQUENT_KEPT = 200_000
@@ -159,7 +163,7 @@ def _pairs(a: str, b: str) -> list:
 
 def _keys_in_common(texts: DataFrame) -> DataFrame:
     """key, node, place, size: the prefix shingles that several nodes have."""
-    one_in = max(1, texts.count() // ORDER_SETS)
+    one_in = max(1, min(ORDER_SHARE, texts.count() // ORDER_SETS))
     sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).select("text")
     counted = sample.mapInArrow(_all_shingles, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
     frequent = counted.filter(F.col("uses") >= FREQUENT).orderBy(F.desc("uses"), "key").limit(FREQUENT_KEPT).toArrow()
@@ -186,8 +190,8 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     links = _verify(alike.unionByName(near.select(*_pairs("a", "b"))).distinct(), nodes, texts)
 
     keyed = _keys_in_common(texts)
-    for turn in range(ROUNDS):
-        classed = _classed(keyed, links)
+    for turn, places in enumerate(ROUNDS):
+        classed = _classed(keyed if places is None else keyed.filter(F.col("place") < places), links)
         # The leader of a shingle is the node with the least hash of this turn.
         led = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("hash"), "node", "class", "size"))
         leaders = classed.groupBy("key").agg(led.alias("leader"))
