@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -180,3 +181,25 @@ def test_log_keeps_history_and_gives_the_latest(spark, tmp_path):
     tables.append(spark.createDataFrame([("a", 2, "z")], schema), path)
     latest = tables.latest_by_key(spark.read.parquet(path), ["k"], "at")
     assert {r.k: r.v for r in latest.collect()} == {"a": "z", "b": "y"}
+
+
+def test_records_over_many_splits_equal_the_whole_file_reader(spark, tmp_path):
+    """Quoted line ends at the edges of splits, over several splits, and in the last record."""
+    draw = random.Random(4)
+    cells = ["plain", '"a\nb"', '"say ""x"""', '"\n\n"', '""', "", '"c,d"', '"' + "long\n" * 60 + '"', '"e\r\nf"']
+    lines = ["id,one,two"] + [f"{i},{draw.choice(cells)},{draw.choice(cells)}" for i in range(400)]
+    path = write(tmp_path / "broken.csv", "\n".join([*lines[:200], "", *lines[200:]]) + "\n")
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+    want = [tuple(None if c in files.NULL_TEXTS else c for c in r) for r in spark.read.csv(path, **options).collect()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("300", "1111", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            splits = spark.read.text(path).rdd.getNumPartitions()
+            assert (splits > 10) == (size != "100000")
+            got = files.read_delimited(spark, path).orderBy(files.POSITION).drop(files.POSITION).collect()
+            assert [tuple(r) for r in got] == want and len(want) == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
