@@ -37,6 +37,11 @@ def day_bucket(instant: Column) -> Column:
     return F.unix_date(F.to_date(instant))
 
 
+def instant_levels(instant: Column) -> list[Column]:
+    """Days, then seconds of a day; a second has at most a million distinct instants."""
+    return [day_bucket(instant), F.pmod(F.unix_seconds(instant), F.lit(86_400))]
+
+
 def tie_bucket(*keys: str) -> Column:
     """Order rows of one value by a hash, so that ties can be split."""
     return F.pmod(F.xxhash64(*keys), F.lit(_TIE_BUCKETS))
@@ -127,36 +132,44 @@ def _upto(group: Sequence[str], value: str) -> Column:
 
 
 def order_statistics(
-    df: DataFrame, group: Sequence[str], value: str, picks: Mapping[str, Column], bucket: Column | None = None
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    picks: Mapping[str, Column],
+    bucket: Column | Sequence[Column] | None = None,
 ) -> DataFrame:
     """Values at given 0-based positions of each group's sorted non-null values.
 
-    ``picks`` maps an output name to a position in terms of ``group_rows``. Only
-    the buckets that hold a wanted position are sorted.
+    ``picks`` maps an output name to a position in terms of ``group_rows``.
+    ``bucket`` may be several functions of the value, coarse to fine. Values are
+    counted per bucket, level by level and only inside the bucket that holds a
+    wanted position, and only the values of one finest bucket are sorted. No
+    window partition holds more than the buckets of one parent bucket, or the
+    distinct values of one finest bucket.
     """
-    bucket = magnitude_bucket(F.col(value)) if bucket is None else bucket
     group = list(group)
-    counted, sizes = _bucketed_values(df, group, value, bucket)
-    wanted = sizes.select("*", *(e.alias(f"__at_{n}") for n, e in picks.items()))
-    holds = F.lit(False)
-    for n in picks:
-        at = F.col(f"__at_{n}")
-        holds = holds | ((at >= F.col("__before")) & (at < F.col("__before") + F.col("__bucket_rows")))
-    wanted = wanted.filter(holds)
-
-    placed = counted.join(wanted, [*group, "__bucket"]).withColumn("__upto", _upto(group, value))
-    return placed.groupBy(*group).agg(
-        *(
-            F.max(
-                F.when(
-                    (F.col(f"__at_{n}") < F.col("__upto"))
-                    & (F.col(f"__at_{n}") >= F.col("__upto") - F.col("__rows_at")),
-                    F.col(value),
-                )
-            ).alias(n)
-            for n in picks
-        )
-    )
+    levels = [magnitude_bucket(F.col(value))] if bucket is None else [bucket] if isinstance(bucket, Column) else list(bucket)
+    names = [f"__level_{i}" for i in range(len(levels))]
+    # Equal values collapse while combining on the map side.
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__rows"))
+    counted = counted.withColumns(dict(zip(names, levels)))
+    sizes = counted.groupBy(*group).agg(F.sum("__rows").alias("group_rows"))
+    asked = F.array(*(F.struct(F.lit(n).alias("pick"), e.cast("long").alias("at")) for n, e in picks.items()))
+    wanted = sizes.select(*group, F.explode(asked).alias("__asked")).select(*group, "__asked.*").filter("at is not null")
+    for depth, name in enumerate(names):
+        parent = [*group, *names[:depth]]
+        totals = counted.groupBy(*parent, name).agg(F.sum("__rows").alias("__total"))
+        wanted = _holding(totals.join(wanted, parent), [*parent, "pick"], name, "__total").drop("__total")
+    found = _holding(counted.join(wanted, [*group, *names]), [*group, *names, "pick"], value, "__rows")
+    return found.groupBy(*group).agg(*(F.max(F.when(F.col("pick") == n, F.col(value))).alias(n) for n in picks))
+
+
+def _holding(rows: DataFrame, parent: Sequence[str], order: str, total: str) -> DataFrame:
+    """Of the rows of each parent, the one that holds position ``at``, which then counts from its start."""
+    upto = Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("__before", F.sum(total).over(upto) - F.col(total))
+    inside = placed.filter((F.col("at") >= F.col("__before")) & (F.col("at") < F.col("__before") + F.col(total)))
+    return inside.withColumn("at", F.col("at") - F.col("__before")).drop("__before")
 
 
 def median(df: DataFrame, group: Sequence[str], value: str, output: str, bucket: Column | None = None) -> DataFrame:
@@ -178,7 +191,7 @@ def at_index_fraction(
     value: str,
     fraction: float,
     output: str,
-    bucket: Column | None = None,
+    bucket: Column | Sequence[Column] | None = None,
     min_rows: int = 1,
 ) -> DataFrame:
     """The value at position ``min(n - 1, int(n * fraction))`` of each group of at least ``min_rows``."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railwatch.functions.dates import day_in_range
@@ -16,9 +16,32 @@ class Page(NamedTuple):
     total: int
 
 
-def page(rows: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> Page:
-    """One page in a given order, with the number of rows in all pages."""
-    return Page(rows.orderBy(*order).offset(offset).limit(limit), rows.count())
+def page(
+    rows: DataFrame, order: list[Column | str], limit: int, offset: int = 0, ranges: Column | None = None
+) -> Page:
+    """One page in a given order, with the number of rows in all pages.
+
+    ``ranges`` is a function of the first order key, of few values, that ascends
+    with the order (negate it for a descending key). Rows are counted per range;
+    only the ranges that the page lies in are read again and sorted, however
+    deep the page is. Without it every row takes part in the sorting.
+    """
+    if ranges is None:
+        return Page(rows.orderBy(*order).offset(offset).limit(limit), rows.count())
+    counted = rows.groupBy(ranges.alias("range")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.asc_nulls_first("range"))) - F.col("n")  # one row per range
+    found = counted.withColumn("before", before).select(
+        "*", F.sum("n").over(Window.partitionBy()).alias("total")
+    )
+    held = found.filter((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
+    edges = held.agg(F.min("range"), F.max("range"), F.min("before"), F.count(F.lit(1)), F.count("range")).first()
+    first, last, skipped, some, named = edges
+    total = found.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
+    if not some:
+        return Page(rows.limit(0), total)
+    within = ranges.between(first, last) if named else F.lit(False)
+    inside = rows.filter(within if named == some else within | ranges.isNull())
+    return Page(inside.orderBy(*order).offset(offset - skipped).limit(limit), total)
 
 
 def _matching(rows: DataFrame, **wanted: str | None) -> DataFrame:

@@ -56,9 +56,9 @@ def undated_count(events: DataFrame) -> DataFrame:
 
 def split_cutoffs(dated: DataFrame, holdout: float = TEST_HOLDOUT) -> DataFrame:
     """Per tenant, the instant that starts the held-out tail; none below five events."""
-    day = ranks.day_bucket(F.col("occurred_ts"))
+    levels = ranks.instant_levels(F.col("occurred_ts"))
     return ranks.at_index_fraction(
-        dated, ["tenant_bank_id"], "occurred_ts", 1 - holdout, "cutoff", day, min_rows=MIN_SPLIT_EVENTS
+        dated, ["tenant_bank_id"], "occurred_ts", 1 - holdout, "cutoff", levels, min_rows=MIN_SPLIT_EVENTS
     )
 
 

@@ -1,3 +1,5 @@
+import datetime as dt
+import random
 import statistics
 from collections import defaultdict
 
@@ -6,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from railwatch.functions import ranks
+from railwatch.operators import listings
 
 VALUES = {
     "spread": lambda random, n: random.normal(0, 1e6, n),
@@ -91,3 +94,43 @@ def test_running_totals(spark):
     for number, row in enumerate(sorted(got.collect(), key=lambda r: (r.a, r.b, r.i)), 1):
         total += row.x
         assert (row.s, row.n) == (total, number)
+
+
+def test_positions_by_levels_equal_sorting(spark):
+    """All instants of a group on one day, some in one second."""
+    draw = random.Random(9)
+    base = dt.datetime(2024, 3, 1)
+    rows = []
+    for group in ("a", "b", "c"):
+        for _ in range(300 if group != "c" else 3):
+            seconds = draw.choice([0, 5, 5, 5, 86_399, draw.randrange(86_400)])
+            rows.append((group, base + dt.timedelta(days=draw.randrange(2) if group == "b" else 0, seconds=seconds, microseconds=draw.randrange(4))))
+    rows += [("a", None), ("d", None)]
+    table = spark.createDataFrame(rows, "g string, t timestamp")
+    picks = {"low": F.floor(F.col("group_rows") * 0.2), "high": F.when(F.col("group_rows") > 5, F.col("group_rows") - 1)}
+    found = ranks.order_statistics(table, ["g"], "t", picks, ranks.instant_levels(F.col("t"))).collect()
+    for r in found:
+        times = sorted(t for g, t in rows if g == r.g and t is not None)
+        assert r.low == times[int(len(times) * 0.2)] and r.high == (times[-1] if len(times) > 5 else None)
+    assert {r.g for r in found} == {"a", "b", "c"}
+
+
+def test_no_window_holds_a_whole_day(spark, monkeypatch):
+    """Sorted at once: the days, the seconds of one day, or the instants of one second."""
+    largest = []
+    holding = ranks._holding
+    monkeypatch.setattr(ranks, "_holding", lambda rows, parent, *rest: largest.append(rows.groupBy(*parent).count().agg(F.max("count")).first()[0]) or holding(rows, parent, *rest))
+    table = spark.range(50_000).select(F.lit("g").alias("g"), F.timestamp_micros(F.col("id") * 173_000).alias("t"))
+    cut = ranks.at_index_fraction(table, ["g"], "t", 0.8, "cut", ranks.instant_levels(F.col("t"))).first().cut
+    assert cut == table.filter("id = 40000").first().t
+    assert largest[0] == 1 and largest[1] <= 86_400 and largest[1] < 50_000 and largest[2] <= 6
+
+
+@pytest.mark.parametrize("offset", [0, 3, 95, 119, 150, 178, 180, 500])
+def test_pages_of_counted_ranges_equal_sorting_all(spark, offset):
+    rows = spark.range(180).select("id", F.when(F.col("id") % 9 > 0, F.col("id") % 40).alias("k"))
+    order = [F.asc_nulls_first("k"), F.desc("id")]
+    whole = [tuple(r) for r in rows.orderBy(*order).collect()]
+    got = listings.page(rows, order, 25, offset, F.floor(F.col("k") / 7))
+    assert got.total == 180 and [tuple(r) for r in got.rows.collect()] == whole[offset : offset + 25]
+    assert listings.page(rows.limit(0), order, 25, offset, F.floor(F.col("k") / 7)).total == 0
