@@ -373,6 +373,52 @@ def resolved_events(w: Workbench) -> DataFrame:
     return identity.resolve_events(w.unresolved).select("transaction_id", "merchant_id", "individual_id")
 
 
+
+_SOURCE_NUMBER = "substr({0}, 2)::BIGINT"
+_OLD_MERCHANT = _SOURCE_NUMBER.format("source_merchant_id") + " % 2 = 0"
+_OLD_INDIVIDUAL = _SOURCE_NUMBER.format("source_individual_id") + " % 3 = 0"
+
+
+def _known_before(registry: DataFrame, identity_column: str, source: str, every: int) -> DataFrame:
+    """What an earlier run may have left: some of the parties, under ids of its own, few of them with a name."""
+    number = F.substring(source, 2, 18).cast("long")
+    name = "legal_name" if identity_column == "merchant_id" else "full_name"
+    known = registry.filter(number % every == 0).drop("is_new")
+    return known.withColumns({identity_column: F.concat(F.lit("OLD-"), source), name: F.when(number % 4 == 0, F.concat(F.lit("known "), source))})
+
+
+@query(
+    f"""SELECT transaction_id, CASE WHEN {_OLD_MERCHANT} THEN 'OLD-' || source_merchant_id WHEN source_merchant_id IS NOT NULL THEN {_MERCHANT_ID} END AS merchant_id,
+ CASE WHEN source_merchant_id IS NOT NULL THEN NULL WHEN {_OLD_INDIVIDUAL} THEN 'OLD-' || source_individual_id WHEN source_individual_id IS NOT NULL THEN {_INDIVIDUAL_ID} END AS individual_id FROM ev"""
+)
+def resolved_events_again(w: Workbench) -> DataFrame:
+    """Ids that an earlier registry issued are kept."""
+    merchants = _known_before(w.merchants, "merchant_id", "source_merchant_id", 2)
+    individuals = _known_before(w.individuals, "individual_id", "source_individual_id", 3)
+    return identity.resolve_events(w.unresolved, merchants, individuals).select("transaction_id", "merchant_id", "individual_id")
+
+
+@query(
+    f"""SELECT CASE WHEN {_OLD_MERCHANT} THEN 'OLD-' || source_merchant_id ELSE {_MERCHANT_ID} END AS merchant_id, tenant_bank_id, source_merchant_id,
+ CASE WHEN {_SOURCE_NUMBER.format('source_merchant_id')} % 4 = 0 THEN 'known ' || source_merchant_id ELSE arg_min(payer_name, event_ordinal) FILTER (payer_name IS NOT NULL) END AS legal_name,
+ {_SOURCE_NUMBER.format('source_merchant_id')} % 2 <> 0 AS is_new FROM ev WHERE source_merchant_id IS NOT NULL GROUP BY tenant_bank_id, source_merchant_id"""
+)
+def merchant_registry_again(w: Workbench) -> DataFrame:
+    """A known name stays, a missing one is filled."""
+    found = identity.merchant_registry(w.unresolved, _known_before(w.merchants, "merchant_id", "source_merchant_id", 2))
+    return found.select("merchant_id", "tenant_bank_id", "source_merchant_id", "legal_name", "is_new")
+
+
+@query(
+    f"""SELECT CASE WHEN {_OLD_INDIVIDUAL} THEN 'OLD-' || source_individual_id ELSE {_INDIVIDUAL_ID} END AS individual_id, tenant_bank_id, source_individual_id,
+ CASE WHEN {_SOURCE_NUMBER.format('source_individual_id')} % 12 = 0 THEN 'known ' || source_individual_id ELSE arg_min(payer_name, event_ordinal) FILTER (payer_name IS NOT NULL) END AS full_name,
+ {_SOURCE_NUMBER.format('source_individual_id')} % 3 <> 0 AS is_new FROM ev WHERE source_individual_id IS NOT NULL AND source_merchant_id IS NULL GROUP BY tenant_bank_id, source_individual_id"""
+)
+def individual_registry_again(w: Workbench) -> DataFrame:
+    found = identity.individual_registry(w.unresolved, _known_before(w.individuals, "individual_id", "source_individual_id", 3))
+    return found.select("individual_id", "tenant_bank_id", "source_individual_id", "full_name", "is_new")
+
+
 @query(
     """SELECT tenant_bank_id, count(*) FILTER (source_merchant_id IS NOT NULL) AS resolved_merchants,
  count(*) FILTER (source_merchant_id IS NULL AND source_individual_id IS NOT NULL) AS resolved_individuals,
@@ -649,6 +695,15 @@ def critical_duplicates(w: Workbench) -> DataFrame:
     return found.select("issue_id", "issue_type", "priority_score")
 
 
+
+@query(f"SELECT issue_id, issue_type, {_r('priority_score')}, (SELECT count(*) FROM ranked) AS total FROM ranked ORDER BY ranked.priority_score DESC, issue_id LIMIT 25 OFFSET 800")
+def issue_page(w: Workbench) -> DataFrame:
+    """A page deep in the listing of issues, the most urgent first."""
+    order = [F.desc("priority_score"), F.asc("issue_id")]
+    found = listings.page(w.ranked_issues, order, 25, 800, -F.floor("priority_score"))
+    return found.rows.select("issue_id", "issue_type", "priority_score", F.lit(found.total).alias("total"))
+
+
 @query(f"SELECT break_id, {_r('priority_score')} FROM rbrk WHERE tenant_bank_id = 'BANK_2' AND detection_type = 'CONFIRMED_BREAK' AND priority_level = 'Medium'")
 def medium_confirmed_breaks(w: Workbench) -> DataFrame:
     found = listings.breaks(w.ranked_breaks, "BANK_2", "confirmed_break", "medium")
