@@ -145,7 +145,7 @@ class Workbench:
 
     @cached_property
     def anchored_cases(self) -> DataFrame:
-        return cases.case_anchors(self.cases, self.alerts, self.events)
+        return cases.case_anchors(self.cases, self.alerts)
 
     @cached_property
     def weekly_counts(self) -> DataFrame:
