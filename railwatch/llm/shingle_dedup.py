@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from railwatch.functions.components import roots
 from railwatch.functions.joins import join_small
 from railwatch.llm import simhash
-from railwatch.llm.common import bounded_batches, id_order, numbers, raw, text_mark
+from railwatch.llm.common import bounded_batches, giving_back, id_order, numbers, raw, text_mark
 from railwatch.llm.substring_dedup import _compressed, _expanded
 from railwatch.session import stored
 
@@ -154,7 +154,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     texts = stored(join_small(texts, asked, ["node"], "left_semi"), "asked")
     both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("to"), F.col("text").alias("other")), "to")
     rows = both.select("node", "to", "text", "other").repartition("node", "to").sortWithinPartitions("node")
-    return stored(rows.mapInArrow(_verified, "node long, to long"), "verified")
+    return stored(rows.mapInArrow(giving_back(_verified), "node long, to long"), "verified")
 
 
 def _pairs(a: str, b: str) -> list:
@@ -165,12 +165,12 @@ def _keys_in_common(texts: DataFrame) -> DataFrame:
     """key, node, place, size: the prefix shingles that several nodes have."""
     one_in = max(1, min(ORDER_SHARE, texts.count() // ORDER_SETS))
     sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).select("text")
-    counted = sample.mapInArrow(_all_shingles, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    counted = sample.mapInArrow(giving_back(_all_shingles), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
     frequent = counted.filter(F.col("uses") >= FREQUENT).orderBy(F.desc("uses"), "key").limit(FREQUENT_KEPT).toArrow()
     found, uses = numbers(frequent["key"].combine_chunks()).view(np.uint64), numbers(frequent["uses"].combine_chunks())
     order = np.argsort(found)
     shared = texts.sparkSession.sparkContext.broadcast((found[order], uses[order]))
-    keyed = texts.mapInArrow(_prefixes(shared), "key long, node long, place long, size long")
+    keyed = texts.mapInArrow(giving_back(_prefixes(shared)), "key long, node long, place long, size long")
     several = F.count(F.lit(1)).over(Window.partitionBy("key")) > 1
     return stored(keyed.withColumn("several", several).filter("several").drop("several"), "keyed")
 
@@ -222,11 +222,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select("*", id_order().alias("_row"), text_mark().alias("_mark"))
     rows = bounded_batches(keyed).select(F.col("_row").alias("row"), F.col("_mark").alias("mark"), "text")
-    nodes = stored(rows.mapInArrow(_nodes, "row long, mark long, node long, print long, size long, bits array<long>"), "nodes")
+    nodes = stored(rows.mapInArrow(giving_back(_nodes), "row long, mark long, node long, print long, size long, bits array<long>"), "nodes")
     # The text of one row stands for its node.
     chosen = nodes.groupBy("node", "print").agg(F.min(F.struct("row", "mark", "size", "bits")).alias("least"))
     chosen = stored(chosen.select("node", "print", "least.*"), "chosen")
-    packed = rows.mapInArrow(_compressed, "row long, mark long, text binary")
+    packed = rows.mapInArrow(giving_back(_compressed), "row long, mark long, text binary")
     texts = stored(packed.join(chosen.select("row", "mark", "node"), ["row", "mark"]).dropDuplicates(["row", "mark"]).select("node", "text"), "texts")
     classes = _classed(chosen, _links(chosen.select("node", "print", "size", "bits"), texts))
     least = classes.groupBy("class").agg(F.min(F.struct("row", "mark")).alias("least"))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railwatch.llm.common import bounded_batches, id_order, numbers, raw, schema_of, text_mark, texts
+from railwatch.llm.common import bounded_batches, giving_back, id_order, numbers, raw, schema_of, text_mark, texts
 from railwatch.session import stored
 
 WINDOW = 20
@@ -291,7 +291,7 @@ def _in_ranges(docs: DataFrame, some: DataFrame, function: Callable, columns: tu
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = np.linspace(0, len(found), parts + 1)[1:-1].astype(int)
     shared = spark.sparkContext.broadcast(np.unique(found[cuts], axis=0) if len(found) else found)
-    rows = docs.mapInArrow(_with_range(function, columns, shared), f"{kinds}, part int")
+    rows = docs.mapInArrow(giving_back(_with_range(function, columns, shared)), f"{kinds}, part int")
     return rows.repartitionById(parts, "part").drop("part").sortWithinPartitions(*columns)
 
 
@@ -301,7 +301,7 @@ def _repeat_places(packed: DataFrame, docs: DataFrame, window: int) -> DataFrame
     some = F.pmod(F.xxhash64("row", "mark"), one_in) == 0
     grams = (
         _in_ranges(docs, docs.filter(some), _sieve_keys(window), ("gram", "row", "mark"))
-        .mapInArrow(_shared_keys, "gram long, row long, mark long")
+        .mapInArrow(giving_back(_shared_keys), "gram long, row long, mark long")
     )
     shared = stored(grams.groupBy("row", "mark").agg(F.collect_set("gram").alias("grams")), "shared")
     sifted = packed.join(shared, ["row", "mark"])
@@ -331,11 +331,11 @@ def _cut(docs: DataFrame, window: int, carried: list[str], made: list[str]) -> D
     keyed = docs.select(along, id_order().alias("row"), text_mark().alias("mark"), "text")
     # Texts are shuffled twice, so they are compressed for it.
     kinds = f"{schema_of(keyed, 'along', 'row', 'mark')}, text binary"
-    packed = keyed.mapInArrow(_compressed, kinds)
+    packed = keyed.mapInArrow(giving_back(_compressed), kinds)
     places = _repeat_places(packed.drop("along"), keyed.select("row", "mark", "text"), window)
     types = {"text": "string", "kept": "string", "n_words": "long", "n_removed": "long"}
     kinds = ", ".join([schema_of(keyed, "along"), *(f"{n} {types[n]}" for n in made)])
-    return packed.join(places, ["row", "mark"], "left").mapInArrow(_without(window, ["along", *made]), kinds).select("along.*", *made)
+    return packed.join(places, ["row", "mark"], "left").mapInArrow(giving_back(_without(window, ["along", *made])), kinds).select("along.*", *made)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
