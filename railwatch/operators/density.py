@@ -94,16 +94,15 @@ def _block_bounds(block: pd.DataFrame) -> pd.DataFrame:
         bound = np.inf
     else:
         x = _vectors(block["x"])
-        bound = max(_kth(row, weight, needed) for row in _distances(x, x))
+        apart = _distances(x, x)
+        near = np.argsort(apart, axis=1, kind="stable")[:, :needed]
+        reached = (np.cumsum(weight[near], axis=1) >= needed).argmax(axis=1)
+        rows = np.arange(len(x))
+        bound = apart[rows, near[rows, reached]].max()
     keys = {c: [block[c].iloc[0]] for c in (*SEGMENT, "cell")}
     return pd.DataFrame({**keys, "radius": [block["offset"].max()], "bound": [bound]})
 
 
-def _kth(row: np.ndarray, weight: np.ndarray, needed: int) -> float:
-    near = np.argsort(row, kind="stable")[:needed]
-    return float(row[near][np.searchsorted(np.cumsum(weight[near]), needed)])
-
-
 def _near_cells(cells: pd.DataFrame) -> pd.DataFrame:
     """Pairs of cells whose points may be among each other's nearest."""
     pivot, radius, bound = _vectors(cells["pivot"]), cells["radius"].to_numpy(), cells["bound"].to_numpy()
