@@ -38,9 +38,10 @@ def join_dealt(
 ) -> DataFrame:
     """Join ``rows``, whose frequent keys are dealt over many tasks, to ``others``.
 
-    Only the rows of frequent keys get a salt, in turn, and only the rows of
-    ``others`` with these keys are repeated, once per salt; all others meet as
-    in a plain join. ``how`` is inner, left, left_semi or left_anti. Without
+    Only the rows of frequent keys get a salt, by a hash of their columns (maps
+    left out), so a task that runs again deals alike; and only the rows of
+    ``others`` with these keys are repeated, once per salt. All other rows meet
+    as in a plain join. ``how`` is inner, left, left_semi or left_anti. Without
     frequent keys it is the plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -49,8 +50,7 @@ def join_dealt(
     if not frequent:
         return rows.join(others, list(keys), how)
     salts = _salts(F.xxhash64(*keys), frequent)
-    # Turns count up within each task, so a salt gets its share whatever the rows hold.
-    turn = F.pmod(F.monotonically_increasing_id(), salts.cast("long")).cast("int")
-    dealt = rows.withColumn("__salt", turn)
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(F.lit("deal"), *hashed), salts.cast("long")).cast("int"))
     repeated = others.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
