@@ -45,7 +45,7 @@ SHINGLE = 5
 TENTHS = 8
 # Rounds with leaders, each under so many first shingles of a node (None: all of its prefix). The short ones
 # join large groups of copies while few pairs are made.
-ROUNDS = (1, 4, 16, None, None)
+ROUNDS = (2, 16, None)
 # Longs of a parity bitmap.
 BITMAP = 16
 # The order of shingles is learned from one in so many sets, from all where they are fewer than so many times
