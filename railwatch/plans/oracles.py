@@ -182,7 +182,7 @@ CTES = {
     "alert": """SELECT *, 'CNO-' || upper(substr(sha256(concat_ws('|', tenant_bank_id, category, coalesce(payment_rail, ''), epoch_us(opened_at)::VARCHAR)), 1, 12)) AS case_code FROM opened""",
     "case0": """SELECT tenant_bank_id, case_code, category, payment_rail, opened_at, sum(exposure) AS current_exposure, count(DISTINCT transaction_id) AS txns,
  count(DISTINCT party_id) AS parties, count(*) AS contributing_alerts_count,
- arg_max(struct_pack(s := severity_score, p := priority_level, i := source_id), (severity_score, -epoch_us(detected_at), source_id)) AS worst,
+ arg_max(struct_pack(s := severity_score, p := priority_level, i := source_id, a := anomaly_type), (severity_score, -epoch_us(detected_at), source_id)) AS worst,
  coalesce(min(CASE WHEN source_type = 'ANOMALY_SNAPSHOT' THEN detected_at WHEN transaction_id IS NOT NULL THEN event_ts END), opened_at) AS anchor_ts FROM alert
  GROUP BY tenant_bank_id, case_code, category, payment_rail, opened_at""",
     "kase": f"""SELECT *, CASE WHEN txns > 0 THEN txns ELSE greatest(parties, contributing_alerts_count) END AS transactions_affected, worst.s AS severity_score,
@@ -198,12 +198,11 @@ CTES = {
  WHEN latest_week_count < prior_mean * 0.8::DOUBLE THEN 'decreasing' ELSE 'stable' END AS direction FROM trend0""",
 }
 
-_PREFIX = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in CTES.items())
 
-
-def statement(body: str) -> str:
-    """A whole statement from a final select over the shared definitions.
+def statement(body: str, **replaced: str) -> str:
+    """A whole statement from a final select over the shared definitions, some of them replaced.
 
     A body that starts with a comma adds definitions of its own first.
     """
-    return f"{_PREFIX}\n{body}"
+    definitions = ",\n".join(f"{name} AS ({select})" for name, select in {**CTES, **replaced}.items())
+    return f"WITH {definitions}\n{body}"

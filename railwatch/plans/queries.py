@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from railwatch.functions.scalars import iso_text, map_value_by_suffix, masked_last4, normalized_status, parse_iso
+from railwatch.functions.scalars import account_type, iso_text, map_value_by_suffix, masked_last4, normalized_status, parse_iso, to_boolean
 from railwatch.operators import (
     cases,
     dashboards,
@@ -32,9 +32,9 @@ from railwatch.operators import (
     vectors,
 )
 from railwatch.operators.lookup import is_batch_issue, issue_events
-from railwatch.plans.oracles import statement
+from railwatch.plans.oracles import _BAND, _LABEL, statement
 from railwatch.plans.testdata import AS_OF, DETECTED_AT
-from railwatch.plans.workbench import Workbench
+from railwatch.plans.workbench import ScoredRun, Workbench
 from railwatch.schema import MAPPED_FIELDS
 from railwatch.session import InputState, input_state
 from railwatch.sources import layouts, mapping, merge
@@ -82,11 +82,11 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, **replaced: str):
     """Register a job under its function name, with the final select that states its result."""
 
     def register(job: Callable[[Workbench], DataFrame]):
-        _REGISTRY[job.__name__] = Query(job, statement(sql) if sql else None)
+        _REGISTRY[job.__name__] = Query(job, statement(sql, **replaced) if sql else None)
         return job
 
     return register
@@ -948,12 +948,13 @@ def detection_performance_by_rail(w: Workbench) -> DataFrame:
 
 
 @query(
-    f"""SELECT tenant_bank_id, rail_type, {_r('success_rate', 'average')}, CASE WHEN success_rate < average - 0.05::DOUBLE THEN 'high' ELSE 'medium' END AS severity FROM (
+    f"""SELECT tenant_bank_id, rail_type, {_r('success_rate', 'average')}, CASE WHEN success_rate < average - 0.05::DOUBLE THEN 'high' ELSE 'medium' END AS severity,
+ printf('%.1f%% succeed on this rail, %.1f%% on average over the tenant''s rails', round(success_rate * 100, 1), round(average * 100, 1)) AS reason FROM (
  SELECT *, avg(success_rate) OVER (PARTITION BY tenant_bank_id) AS average FROM ({_BY_RAIL})) WHERE success_rate < average"""
 )
 def detection_attention(w: Workbench) -> DataFrame:
     by_rail = dashboards.detection_performance_by_rail(w.events, w.found_issues, w.found_breaks)
-    return dashboards.detection_attention(by_rail).drop("reason")
+    return dashboards.detection_attention(by_rail)
 
 
 @query(
@@ -1035,11 +1036,15 @@ def incident_impact(w: Workbench) -> DataFrame:
 # --- investigation ------------------------------------------------------------
 
 
-@query(
-    f"""SELECT case_code, tenant_bank_id, category, payment_rail, title, {_r('current_exposure')}, transactions_affected, contributing_alerts_count, {_r('severity_score')}, priority_level, {_iso('opened_at')} FROM kase"""
-)
+_CASES = f"""SELECT case_code, tenant_bank_id, category, payment_rail, title, {_r('current_exposure')}, transactions_affected, contributing_alerts_count, {_r('severity_score')}, priority_level, {_iso('opened_at')},
+ worst_source_id, 'PENDING' AS validation_status, priority_level || ': ' || lower(worst.a) || ' scored ' || round_even(severity_score, 0)::BIGINT || ' against its peers (' || priority_level || ' starts at ' ||
+ CASE priority_level WHEN 'Critical' THEN 85 WHEN 'High' THEN 60 WHEN 'Medium' THEN 35 ELSE 0 END || '), ' ||
+ CASE WHEN contributing_alerts_count = 1 THEN 'the only alert' ELSE 'the gravest of ' || contributing_alerts_count || ' alerts' END || ' of this case' AS priority_reason FROM kase"""
+
+
+@query(_CASES)
 def investigation_cases(w: Workbench) -> DataFrame:
-    return w.cases.drop("worst_source_id", "priority_reason", "validation_status")
+    return w.cases
 
 
 @query(f"SELECT case_code, source_type, source_id, transaction_id, payment_rail, anomaly_type, {_iso('detected_at')} FROM alert")
@@ -1075,56 +1080,63 @@ def category_trends(w: Workbench) -> DataFrame:
     return w.trends
 
 
+_PATTERN_TITLE = f"concat_ws(' ', c.payment_rail, CASE c.category WHEN 'FRAUD_HIGH' THEN 'High anomaly cluster' WHEN 'FRAUD_CRITICAL' THEN 'Critical anomaly cluster' ELSE {_LABEL.format('c.category')} END)"
 _PAIR = "t.tenant_bank_id = c.tenant_bank_id AND t.category = c.category AND t.payment_rail IS NOT DISTINCT FROM c.payment_rail"
 
 
 @query(
-    f"""SELECT c.tenant_bank_id, c.category, c.payment_rail, direction, round_even((latest_week_count / prior_weeks_average_count - 1) * 100, 0)::BIGINT AS vs_baseline_percent,
+    f"""SELECT {_PATTERN_TITLE} AS title, representative_case_code, c.tenant_bank_id, c.category, c.payment_rail, direction, round_even((latest_week_count / prior_weeks_average_count - 1) * 100, 0)::BIGINT AS vs_baseline_percent,
  round_even(exposure, 2) AS exposure, CASE worst WHEN 3 THEN 'Critical' WHEN 2 THEN 'High' WHEN 1 THEN 'Medium' WHEN 0 THEN 'Low' END AS severity, case_count
  FROM (SELECT tenant_bank_id, category, payment_rail, coalesce(sum(current_exposure), 0) AS exposure, count(*) AS case_count,
- max(CASE priority_level WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 0 ELSE -1 END) AS worst FROM kase GROUP BY ALL) c JOIN trend t ON {_PAIR}"""
+ max(CASE priority_level WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 0 ELSE -1 END) AS worst,
+ arg_max(case_code, (CASE priority_level WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 0 ELSE -1 END, -epoch_us(opened_at), case_code)) AS representative_case_code FROM kase GROUP BY ALL) c JOIN trend t ON {_PAIR}"""
 )
 def patterns(w: Workbench) -> DataFrame:
-    return trends.patterns(w.cases, w.trends).drop("title", "representative_case_code")
+    return trends.patterns(w.cases, w.trends)
 
 
 @query(
-    f"""SELECT tenant_bank_id, case_code, priority_level, allowed AS sla_window_days, round_even(age, 1) AS age_days, round_even(allowed - age, 1) AS remaining_days, CASE WHEN allowed - age <= 0 THEN 'overdue' ELSE 'approaching' END AS status
+    f"""SELECT tenant_bank_id, case_code, title, {_r('current_exposure')}, priority_level, allowed AS sla_window_days, round_even(age, 1) AS age_days, round_even(allowed - age, 1) AS remaining_days, CASE WHEN allowed - age <= 0 THEN 'overdue' ELSE 'approaching' END AS status
  FROM (SELECT *, CASE priority_level WHEN 'Critical' THEN 2.0 WHEN 'High' THEN 5.0 WHEN 'Low' THEN 20.0 ELSE 10.0 END AS allowed,
  (epoch_us(max(anchor_ts) OVER (PARTITION BY tenant_bank_id)) - epoch_us(anchor_ts)) / 86400000000::DOUBLE AS age FROM kase) WHERE allowed - age <= allowed * 0.3::DOUBLE"""
 )
 def sla_cases(w: Workbench) -> DataFrame:
-    return sla.cases_near_sla(w.anchored_cases).drop("title", "current_exposure")
+    return sla.cases_near_sla(w.anchored_cases)
 
 
-def _rate_sql(category: str, column: str, flag: str) -> str:
-    return f"""SELECT c.tenant_bank_id, c.case_code, strftime(h.window_start::DATE, '%Y-%m-%d') AS point_time, round_even(h.rate * 100, 2) AS point_value,
+def _rate_sql(category: str, column: str, flag: str, z: str, kind: str, word: str) -> str:
+    peak = f"greatest(max(round_even(h.rate * 100, 2)) OVER (PARTITION BY c.tenant_bank_id, c.case_code), (b.m + {flag} * b.s) * 100)"
+    return f"""SELECT '{kind} Rate vs. Expected Baseline' AS title, '%' AS unit, round_even({peak} * 1.25::DOUBLE, 1) AS max_value,
+ CASE WHEN abs(h.{z}) >= {flag} THEN printf('{word} rate at |z| = %.1f', round(abs(h.{z}), 1)) END AS annotation, c.tenant_bank_id, c.case_code, strftime(h.window_start::DATE, '%Y-%m-%d') AS point_time, round_even(h.rate * 100, 2) AS point_value,
  round_even(b.m * 100, 2) AS baseline_value, round_even((b.m + {flag} * b.s) * 100, 2) AS threshold_value
  FROM kase c JOIN issue i ON i.issue_id = c.worst_source_id JOIN hist h ON h.tenant_bank_id = c.tenant_bank_id AND h.party_id = i.reference_id AND h.name = '{column}'
  JOIN hist b ON b.tenant_bank_id = c.tenant_bank_id AND b.party_id = i.reference_id AND b.name = '{column}' AND b.window_end = i.window_end
  WHERE c.category = '{category}' AND h.weeks >= 3"""
 
 
-_HISTORY = """SELECT tenant_bank_id, party_id, window_start, window_end, '{0}' AS name, {0} AS rate, avg({0}) OVER w AS m, coalesce(stddev_samp({0}) OVER w, 0) AS s,
+_HISTORY = """SELECT zt, zf, tenant_bank_id, party_id, window_start, window_end, '{0}' AS name, {0} AS rate, avg({0}) OVER w AS m, coalesce(stddev_samp({0}) OVER w, 0) AS s,
  count(*) OVER (PARTITION BY tenant_bank_id, party_id) AS weeks FROM snap WHERE window_type = 'WEEKLY' AND {0} IS NOT NULL
  WINDOW w AS (PARTITION BY tenant_bank_id, party_id ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
 @query(
     f""", hist AS ({_HISTORY.format('timeout_ratio')} UNION ALL {_HISTORY.format('format_reject_ratio')})
- {_rate_sql('NETWORK_TIMEOUT_SPIKE', 'timeout_ratio', '2')} UNION ALL {_rate_sql('FORMAT_REJECTION_SPIKE', 'format_reject_ratio', '3')}"""
+ {_rate_sql('NETWORK_TIMEOUT_SPIKE', 'timeout_ratio', '2', 'zt', 'Network Timeout', 'timeout')} UNION ALL {_rate_sql('FORMAT_REJECTION_SPIKE', 'format_reject_ratio', '3', 'zf', 'Format Rejection', 'rejection')}"""
 )
 def case_rate_trend(w: Workbench) -> DataFrame:
-    return trends.case_rate_trend(w.cases, w.snapshots, w.found_issues).drop("title", "unit", "max_value", "annotation")
+    return trends.case_rate_trend(w.cases, w.snapshots, w.found_issues)
 
 
 @query(
-    f"""SELECT c.tenant_bank_id, c.case_code, strftime(k.week_start::DATE, '%Y-%m-%d') AS point_time, k."count"::DOUBLE AS point_value, round_even(t.prior_weeks_average_count, 2) AS baseline_value,
+    f"""SELECT {_PATTERN_TITLE} || ', cases per week' AS title, 'count' AS unit,
+ round_even(greatest(max(k."count") OVER (PARTITION BY c.tenant_bank_id, c.case_code), t.prior_weeks_average_count * 1.2::DOUBLE) * 1.25::DOUBLE, 1) AS max_value,
+ CASE WHEN k.week_start = t.latest_week AND t.direction <> 'stable' THEN printf('%s from %.1f cases a week', t.direction, t.prior_weeks_average_count) END AS annotation,
+ c.tenant_bank_id, c.case_code, strftime(k.week_start::DATE, '%Y-%m-%d') AS point_time, k."count"::DOUBLE AS point_value, round_even(t.prior_weeks_average_count, 2) AS baseline_value,
  round_even(t.prior_weeks_average_count * 1.2::DOUBLE, 2) AS threshold_value FROM kase c JOIN trend t ON {_PAIR} JOIN weekly k ON k.tenant_bank_id = c.tenant_bank_id AND k.category = c.category AND k.payment_rail IS NOT DISTINCT FROM c.payment_rail
  WHERE c.category NOT LIKE '%SPIKE'"""
 )
 def case_frequency_trend(w: Workbench) -> DataFrame:
-    return trends.case_frequency_trend(w.cases, w.weekly_counts, w.trends).drop("title", "unit", "max_value", "annotation")
+    return trends.case_frequency_trend(w.cases, w.weekly_counts, w.trends)
 
 
 @query(
@@ -1192,15 +1204,215 @@ def finding_facts(w: Workbench) -> DataFrame:
 
 
 @query(
-    f"""SELECT c.tenant_bank_id, c.case_code, c.category, contributing_alerts_count, t.direction FROM kase c LEFT JOIN trend t ON {_PAIR}"""
+    f"""SELECT 'investigation_case' AS signal_type, c.tenant_bank_id, c.case_code, c.category, c.payment_rail, {_r('current_exposure')}, transactions_affected, contributing_alerts_count,
+ {_iso('opened_at')}, t.weeks_observed, t.latest_week_count, round(t.prior_weeks_average_count, 6) AS prior_weeks_average_count, t.direction FROM kase c LEFT JOIN trend t ON {_PAIR}"""
 )
 def case_facts(w: Workbench) -> DataFrame:
-    schema = "case_code string, category string, contributing_alerts_count long, category_trend struct<direction:string>"
-    facts = narration.case_facts(w.cases, w.trends).select("tenant_bank_id", F.from_json("facts", schema).alias("f"))
-    return facts.select("tenant_bank_id", "f.case_code", "f.category", "f.contributing_alerts_count", "f.category_trend.direction")
+    """Every field of the documents, read back from their text."""
+    trend = "category_trend struct<weeks_observed:long, latest_week_count:long, prior_weeks_average_count:double, direction:string>"
+    fields = "case_code string, category string, payment_rail string, current_exposure double, transactions_affected long, contributing_alerts_count long"
+    read = _read_back(narration.case_facts(w.cases, w.trends), f"{fields}, opened_at string, {trend}")
+    return read.select("*", "category_trend.*").drop("category_trend")
 
 
-@query("""SELECT tenant_bank_id, case_code AS reference_id, count(*) AS alerts FROM alert GROUP BY ALL""")
+@query(f"""SELECT tenant_bank_id, case_code AS reference_id, anomaly_type, CASE source_type WHEN 'OPERATIONAL_ISSUE' THEN 'Operational' WHEN 'RECONCILIATION_BREAK' THEN 'Reconciliation' ELSE 'Fraud' END AS anomaly_category,
+ payment_rail, {_iso('detected_at')}, count(*) AS alerts FROM alert GROUP BY ALL""")
 def case_alert_facts(w: Workbench) -> DataFrame:
-    facts = narration.case_alert_facts(w.alerts)
-    return facts.groupBy("tenant_bank_id", "reference_id").agg(F.count("facts").alias("alerts"))
+    fields = "anomaly_type string, anomaly_category string, payment_rail string, detected_at string"
+    facts = narration.case_alert_facts(w.alerts).select("tenant_bank_id", "reference_id", F.from_json("facts", fields).alias("f"))
+    return facts.groupBy("tenant_bank_id", "reference_id", "f").agg(F.count(F.lit(1)).alias("alerts")).select("*", "f.*").drop("f")
+
+
+def _read_back(facts: DataFrame, fields: str) -> DataFrame:
+    """The tenant and the parsed fields of fact documents."""
+    parsed = facts.select("tenant_bank_id", F.from_json("facts", f"signal_type string, {fields}").alias("f"))
+    return parsed.select("tenant_bank_id", "f.*")
+
+
+def _documents(w: Workbench, signal: str, fields: str) -> DataFrame:
+    return _read_back(_facts(w).filter(F.col("signal_type") == signal), fields)
+
+
+@query(
+    f"""SELECT 'operational_issue' AS signal_type, tenant_bank_id, issue_type, reference_type, reference_id, {_r('severity_score')}, '2024-02-01T00:00:00Z' AS detected_at FROM found"""
+)
+def issue_documents(w: Workbench) -> DataFrame:
+    """Their details are compared by the queries of each type of issue."""
+    fields = "issue_type string, reference_type string, reference_id string, severity_score double, detected_at string"
+    return _documents(w, "operational_issue", fields)
+
+
+@query(
+    f"""SELECT 'reconciliation_break' AS signal_type, tenant_bank_id, detection_type, transaction_id, rail_type, source_reconciliation_status, {_r('variance_amount', 'amount')}, '2024-02-01T00:00:00Z' AS detected_at FROM brk"""
+)
+def break_documents(w: Workbench) -> DataFrame:
+    names = "detection_type string, transaction_id string, rail_type string, source_reconciliation_status string"
+    return _documents(w, "reconciliation_break", f"{names}, variance_amount double, amount double, detected_at string")
+
+
+_FRAUD_FIELDS = """party_id string, party_type string, window_start string, window_end string, transaction_count long, amount_total double,
+ isolation_forest_score double, cluster_changed boolean, timeseries_drift_score double, final_anomaly_score double, anomaly_band string"""
+_FRAUD_DOCUMENTS = f"""SELECT 'fraud_anomaly' AS signal_type, tenant_bank_id, party_id, party_type, {_iso('window_start', 'window_end')}, transaction_count,
+ {{0}}, {_r('amount_total', 'timeseries_drift_score', 'final_anomaly_score')}, anomaly_band FROM flagged"""
+
+
+@query(_FRAUD_DOCUMENTS.format("NULL::DOUBLE AS isolation_forest_score, NULL::BOOLEAN AS cluster_changed"))
+def fraud_documents(w: Workbench) -> DataFrame:
+    return _documents(w, "fraud_anomaly", _FRAUD_FIELDS)
+
+
+@query(
+    f"""SELECT 'funnel_account' AS signal_type, tenant_bank_id, beneficiary_key, beneficiary_name, {_iso('window_start', 'window_end')}, transaction_count, {_r('amount_total')},
+ distinct_senders, distinct_new_senders, {_r('new_sender_ratio')}, sender_party_types, {_r('funnel_drift_score')} FROM ben WHERE funnel_drift_score >= 50"""
+)
+def funnel_documents(w: Workbench) -> DataFrame:
+    names = "beneficiary_key string, beneficiary_name string, window_start string, window_end string, transaction_count long, amount_total double"
+    senders = "distinct_senders long, distinct_new_senders long, new_sender_ratio double, sender_party_types array<string>, funnel_drift_score double"
+    return _documents(w, "funnel_account", f"{names}, {senders}")
+
+
+# --- a run over the weighted score --------------------------------------------
+
+# Bands of the weighted score of signals that SQL can state; they reach every later table.
+_WEIGHTED = f"""SELECT *, {_BAND.format('final_anomaly_score')} AS anomaly_band FROM (SELECT *, forest_score::DOUBLE AS isolation_forest_score,
+ 0.4::DOUBLE * forest_score + 0.25::DOUBLE * CASE WHEN cluster_changed THEN 100.0 ELSE 0.0 END + 0.35::DOUBLE * coalesce(timeseries_drift_score, 0.0) AS final_anomaly_score FROM {_DERIVED})"""
+
+
+def _derived_run(w: Workbench) -> Workbench:
+    if "derived" not in w.runs:
+        w.runs["derived"] = ScoredRun(w, lambda: scoring.with_final_score(_derived_signals(w)))
+    return w.runs["derived"]
+
+
+@query(_HEALTH, banded=_WEIGHTED)
+def weighted_health_scores(w: Workbench) -> DataFrame:
+    return _health(_derived_run(w)).drop("computed_at")
+
+
+@query(_BY_DOMAIN.format(""), banded=_WEIGHTED)
+def weighted_exposure_by_domain(w: Workbench) -> DataFrame:
+    run = _derived_run(w)
+    return exposure.exposure_by_domain(run.claims, run.tenants)
+
+
+@query(_SUMMARY.format(""), banded=_WEIGHTED)
+def weighted_review_summary(w: Workbench) -> DataFrame:
+    return review_summary(_derived_run(w))
+
+
+@query(_CASES, banded=_WEIGHTED)
+def weighted_investigation_cases(w: Workbench) -> DataFrame:
+    return _derived_run(w).cases
+
+
+@query(_FRAUD_DOCUMENTS.format(_r("isolation_forest_score") + ", cluster_changed"), banded=_WEIGHTED)
+def weighted_fraud_documents(w: Workbench) -> DataFrame:
+    return _documents(_derived_run(w), "fraud_anomaly", _FRAUD_FIELDS)
+
+
+@query()
+def fully_scored_health(w: Workbench) -> DataFrame:
+    """Health over the bands of forest, clusters and drift."""
+    return _health(w.fully_scored).drop("computed_at")
+
+
+@query()
+def fully_scored_cases(w: Workbench) -> DataFrame:
+    """Cases over the bands of forest, clusters and drift."""
+    return w.fully_scored.cases
+
+
+# --- logs of several runs -----------------------------------------------------
+
+_RUNS = 120
+_LATER = dt.timedelta(days=1)
+
+
+@query(
+    f"""SELECT tenant_bank_id, strftime(TIMESTAMP '2024-02-01' + to_days(run::INT), '%Y-%m-%dT%H:%M:%SZ') AS computed_at, health_score, health_band
+ FROM ({_HEALTH}), range({_RUNS}) r(run) WHERE run >= {_RUNS} - 90"""
+)
+def health_history(w: Workbench) -> DataFrame:
+    """The last 90 points of a history that grew by one row a day."""
+    run = F.explode(F.sequence(F.lit(0), F.lit(_RUNS - 1))).alias("run")
+    grown = health.history_rows(_health(w)).select("*", run)
+    grown = grown.withColumn("computed_at", F.col("computed_at") + F.make_dt_interval("run")).drop("run")
+    return health.health_history(grown)
+
+
+@query(
+    f"""SELECT * REPLACE (CASE WHEN tenant_bank_id = 'BANK_1' THEN health_score ELSE 1.5 END AS health_score),
+ CASE WHEN tenant_bank_id = 'BANK_1' THEN '2024-02-01T00:00:00Z' ELSE '2024-02-02T00:00:00Z' END AS computed_at FROM ({_HEALTH})"""
+)
+def current_health(w: Workbench) -> DataFrame:
+    """Of two runs the later one, where a tenant took part in it."""
+    first = _health(w)
+    later = first.filter("tenant_bank_id <> 'BANK_1'").withColumns(
+        {"health_score": F.lit(1.5), "computed_at": F.lit(DETECTED_AT + _LATER).cast("timestamp")}
+    )
+    return health.current_health(first.unionByName(later))
+
+
+@query(
+    """SELECT signal_type, tenant_bank_id, reference_id, CASE d % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'CONFIRMED' ELSE 'DISMISSED' END AS status,
+ CASE d % 3 WHEN 2 THEN 'first' ELSE 'second' END AS reviewed_by, NULL::VARCHAR AS notes,
+ CASE d % 3 WHEN 1 THEN '2024-02-02T00:00:00Z' WHEN 2 THEN '2024-02-01T00:00:00Z' END AS reviewed_at
+ FROM (SELECT *, ascii(substr(md5(reference_id), 1, 1)) AS d FROM claim_ids)"""
+)
+def current_reviews(w: Workbench) -> DataFrame:
+    """Every claim dismissed by one person; then another sets some pending again and confirms others."""
+    kind = F.ascii(F.substring(F.md5("reference_id"), 1, 1)) % 3
+    claimed = w.claim_ids.select(*review.REVIEW_KEY, kind.alias("kind"), F.lit(None).cast("string").alias("notes"))
+
+    def acted(rows: DataFrame, status: Column, by: str, at: dt.datetime) -> DataFrame:
+        told = {"status": status, "reviewed_by": F.lit(by), "acted_at": F.lit(at).cast("timestamp")}
+        return rows.withColumns(told).drop("kind")
+
+    again = F.when(F.col("kind") == 0, "PENDING").otherwise("CONFIRMED")
+    log = acted(claimed, F.lit("DISMISSED"), "first", DETECTED_AT).unionByName(
+        acted(claimed.filter("kind < 2"), again, "second", DETECTED_AT + _LATER)
+    )
+    return review.current_reviews(review.review_actions(log))
+
+
+@query(
+    """SELECT signal_type, tenant_bank_id, reference_id, 'About ' || identifier AS title, 'Check' AS recommended_action_title FROM (
+ SELECT 'operational_issue' AS signal_type, tenant_bank_id, issue_id AS reference_id, reference_id AS identifier FROM found
+ UNION ALL SELECT 'reconciliation_break', tenant_bank_id, break_id, transaction_id FROM brk UNION ALL SELECT 'fraud_anomaly', tenant_bank_id, snapshot_id, party_id FROM flagged
+ UNION ALL SELECT 'funnel_account', tenant_bank_id, snapshot_id, beneficiary_key FROM ben WHERE funnel_drift_score >= 50)
+ WHERE ascii(substr(md5(reference_id), 1, 1)) % 4 = 0 AND tenant_bank_id = 'BANK_1'"""
+)
+def narrative_listing(w: Workbench) -> DataFrame:
+    """The cache of one tenant after its cases were rebuilt: their texts are gone, all others stay."""
+    facts = _facts(w)
+    facts = facts.unionByName(narration.case_facts(w.cases, w.trends))
+    cached = narration.narrative_rows(narration.validated(_returned(facts), facts), "model")
+    kept = narration.list_narratives(narration.without_case_narratives(cached, "BANK_1"), "BANK_1")
+    return kept.select(*narration.NARRATIVE_KEY, "title", "recommended_action_title")
+
+
+@query(
+    """SELECT tenant_bank_id, party_type, party_id, count(*) AS transaction_count FROM ev WHERE tenant_bank_id = 'BANK_0' AND party_type = 'MERCHANT' GROUP BY ALL"""
+)
+def feature_listing(w: Workbench) -> DataFrame:
+    found = listings.party_features(parties.party_features(w.events), "BANK_0", "MERCHANT")
+    return found.select("tenant_bank_id", "party_type", "party_id", "transaction_count")
+
+
+@query(
+    """SELECT event_ordinal, CASE WHEN k % 11 < 5 THEN true WHEN k % 11 < 10 THEN false END AS spelled,
+ CASE k % 3 WHEN 0 THEN 'savings' WHEN 1 THEN 'current' END AS account_type FROM ev"""
+)
+def spelled_values(w: Workbench) -> DataFrame:
+    """Booleans in every spelling and one that is none; account types under either of two names."""
+    k = _k(w.events)
+    texts = F.array(*map(F.lit, ("TRUE", " 1", "Yes", "y ", "t", "False", "0 ", "NO", " n", "F", "maybe")))
+    one, other, neither = (
+        F.create_map(F.lit(name), F.lit(value)) for name, value in (("account_type", "savings"), ("entity_account_type", "current"), ("other", "x"))
+    )
+    flags = F.when(k % 3 == 0, F.map_concat(one, F.create_map(F.lit("entity_account_type"), F.lit("current")))).when(k % 3 == 1, other)
+    return w.events.select(
+        "event_ordinal",
+        to_boolean(F.element_at(texts, k % 11 + 1)).alias("spelled"),
+        account_type(flags.otherwise(neither)).alias("account_type"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,13 @@ from railwatch.plans.testdata import AS_OF, DETECTED_AT, canonical_events, deriv
 class Workbench:
     """Lazily composed jobs over one data folder.
 
-    The anomaly band of these tables comes from the drift score alone; the full
-    score with forest and clusters is composed where it is asked for.
+    The anomaly band of these tables comes from the drift score alone;
+    ``fully_scored`` is the same run with bands from forest, clusters and drift.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.runs: dict[str, ScoredRun] = {}
 
     @cached_property
     def events(self) -> DataFrame:
@@ -154,3 +156,35 @@ class Workbench:
     @cached_property
     def trends(self) -> DataFrame:
         return trends.category_trends(self.weekly_counts)
+
+    @cached_property
+    def fully_scored(self) -> ScoredRun:
+        """The run whose health, exposure, reviews, cases, trends and facts follow the weighted score."""
+        return ScoredRun(self, lambda: self.scored)
+
+
+class ScoredRun(Workbench):
+    """The tables of a run over other bands.
+
+    ``banded`` gives the snapshots with their score and band. Tables that no
+    band enters are those of ``base`` and are not built again.
+    """
+
+    def __init__(self, base: Workbench, banded: Callable[[], DataFrame]):
+        super().__init__(base.spark, base.sf_dir)
+        self.base, self._banded = base, banded
+
+    @cached_property
+    def banded(self) -> DataFrame:
+        return stored(self._banded(), "banded")
+
+
+def _of_base(name: str) -> property:
+    return property(lambda run: getattr(run.base, name))
+
+
+for _name in (
+    "events unresolved tenants merchants individuals snapshots forest_scores clustered scored beneficiaries"
+    " issues found_issues ranked_issues breaks found_breaks ranked_breaks"
+).split():
+    setattr(ScoredRun, _name, _of_base(_name))

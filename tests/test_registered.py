@@ -36,3 +36,15 @@ def test_query(spark, connection, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_bands_of_the_weighted_score_reach_later_tables(spark):
+    jobs = entry.queries()
+    bands = [(r.snapshot_id, r.anomaly_band) for r in jobs["final_scores"](spark, FOLDER).collect()]
+    rows = jobs["fully_scored_health"](spark, FOLDER).collect()
+    for column, band in (("critical_anomaly_count", "Critical"), ("high_anomaly_count", "High")):
+        found = {r.tenant_bank_id: r[column] for r in rows}
+        assert found == {t: sum(s.startswith(f"{t}|") and b == band for s, b in bands) for t in found}
+    fraud = [r for r in jobs["fully_scored_cases"](spark, FOLDER).collect() if r.category.startswith("FRAUD_")]
+    flagged = sum(b in ("High", "Critical") for _, b in bands)
+    assert sum(r.contributing_alerts_count for r in fraud) == flagged > 0
