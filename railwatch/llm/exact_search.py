@@ -6,7 +6,8 @@ needs cosines of at least t / (|query| * longest of the bucket). Above 1 the
 bucket is skipped. A high local threshold prunes by coordinates: the larger
 parts of the query leave an interval for the same coordinate of any vector at
 such a cosine. A low one would prune little that way, so vectors are pruned by
-their own length alone. What is left is verified with exact integer products.
+their own length alone: these lie longest first, so a block of queries meets
+the front that its queries need. What is left is verified with exact integer products.
 
 The thresholds start from a fixed number of rows that every query is scored
 against first, the longest and some drawn by hash: the k-th best among any rows
@@ -21,10 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railwatch.llm.ann import _matrix, ranked, usable
+from railwatch.llm.ann import _matrix, ranked
+from railwatch.llm.common import bounded_batches
 from railwatch.session import stored
 
 TOP = 5
@@ -38,31 +41,59 @@ BANDS = 16
 # From this local cosine on, coordinates are worth looking at, so many of them.
 COORDINATE_COSINE = 0.6
 COORDINATES = 6
+# Queries that are scored together against a front.
+SCORED_AT_ONCE = 128
 # Lengths and cosines are rounded; pruning allows for that.
 SLACK = 1e-9
 
 _EXACT_FLOAT = 2.0**52
 
 
+def _exact(queries: np.ndarray, points: np.ndarray) -> bool:
+    """Whether all sums of products stay whole in floating point."""
+    return bool(np.abs(queries).max() * np.abs(points).max() * queries.shape[1] < _EXACT_FLOAT)
+
+
 def products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Integer inner products: by floating point where all sums stay exact, else by Python integers."""
     if not queries.size or not points.size:
         return np.zeros((len(queries), len(points)))
-    if np.abs(queries).max() * np.abs(points).max() * queries.shape[1] < _EXACT_FLOAT:
+    if _exact(queries, points):
         return queries @ points.T
     exact = queries.astype(object) @ points.astype(object).T
     return np.vectorize(lambda x: max(-(2**63), min(2**63 - 1, int(x))), otypes=[object])(exact)
 
 
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole numbers and length of the vectors without null or non-finite components."""
+    for batch in batches:
+        vectors = batch.column("v")
+        sizes = np.diff(vectors.offsets.to_numpy())
+        x = vectors.flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        fine = np.bincount(row[~np.isfinite(x)], minlength=len(sizes)) == 0
+        x, row, sizes = x[fine[row]], row[fine[row]], sizes[fine]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        # From 2**52 on a double is whole already. Adding 0 turns -0 into 0.
+        with np.errstate(over="ignore", invalid="ignore"):
+            whole = np.where(np.abs(x) < 2.0**52, np.floor(x * SCALE) + 0.0, x * SCALE)
+            # Scaled by the largest part, so squares do not overflow.
+            top = np.zeros(len(sizes))
+            filled = sizes > 0
+            if filled.any():
+                top[filled] = np.maximum.reduceat(np.abs(whole), (np.cumsum(sizes) - sizes)[filled])
+            parts = whole / np.where(top > 0, top, 1.0)[row]
+            length = top * np.sqrt(np.bincount(row, parts * parts, minlength=len(sizes)))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        ids = batch.column("vec_id").filter(pa.array(fine))
+        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(whole)), pa.array(length)], ["vec_id", "v", "length"])
+
+
 def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id, v (whole numbers as doubles) and length of the rows that take part."""
-    # floor() of a double gives a long; beyond its range a double is whole already.
-    whole = F.transform("v", lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
-    rows = usable(vectors, zeros=True).withColumn("v", whole)
-    # Scaled by the largest part, so squares do not overflow.
-    top = F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / top) * (x / top))
-    return rows.withColumn("length", F.when(top > 0, top * F.sqrt(square)).otherwise(0.0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = bounded_batches(rows.filter("vec_id is not null and v is not null"))
+    return rows.mapInArrow(_wholes, "vec_id long, v array<double>, length double")
 
 
 def _band() -> Column:
@@ -94,7 +125,7 @@ def _started(shared, top: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
             points = _matrix(list(frame["v"]), width)
             scores = products(points, seeds).astype(float)
             scores[seed_ids == frame["query_id"].to_numpy()[:, None]] = -np.inf
-            kth = -np.sort(-scores, axis=1)[:, top - 1] if scores.shape[1] >= top else np.full(len(points), -np.inf)
+            kth = -np.partition(-scores, top - 1, axis=1)[:, top - 1] if scores.shape[1] >= top else np.full(len(points), -np.inf)
             reach = frame["length"].to_numpy()[:, None] * np.array([b[3] for b in buckets])
             needed = (kth[:, None] <= 0) | (reach * (1 + SLACK) >= kth[:, None])
             rows = [
@@ -128,21 +159,51 @@ def candidates(query: np.ndarray, length: float, threshold: float, points: np.nd
     return np.flatnonzero(keep)
 
 
+def _best(asked: np.ndarray, ids: np.ndarray, scores: np.ndarray, thresholds: np.ndarray, top: int) -> list[tuple[int, int, int]]:
+    """The ``top`` best of each row of ``scores`` that reach its threshold, ties by id; a query's own id is left out."""
+    scores[asked[:, None] == ids] = -np.inf
+    enough = (scores >= thresholds[:, None]) & (scores > -np.inf)
+    for i in np.flatnonzero(enough.sum(axis=1) > top):
+        enough[i] &= scores[i] >= -np.partition(-scores[i], top - 1)[top - 1]
+    at, place = np.nonzero(enough)
+    found = scores[at, place]
+    order = np.lexsort((ids[place], -found, at))
+    at, place, found = at[order], place[order], found[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < top
+    return list(zip(asked[at[first]].tolist(), ids[place[first]].tolist(), found[first].astype(np.int64).tolist()))
+
+
 def _verified(shared, top: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         width, rows = shared.value[0], []
         if len(entries) and len(queries):
-            entries = entries.sort_values("vec_id", kind="stable")
+            entries = entries.sort_values(["length", "vec_id"], ascending=[False, True], kind="stable")
             ids, lengths = entries["vec_id"].to_numpy(), entries["length"].to_numpy()
             points = _matrix(list(entries["v"]), width)
-            units = points / np.where(lengths > 0, lengths, 1.0)[:, None]
+            asked, reach, thresholds = (queries[c].to_numpy() for c in ("query_id", "length", "threshold"))
             wanted = _matrix(list(queries["v"]), width)
-            for asked, query, length, threshold in zip(queries["query_id"], wanted, queries["length"], queries["threshold"]):
-                at = candidates(query, length, threshold, points, lengths, units)
-                at = at[ids[at] != asked]
-                scores = products(query[None], points[at])[0]
-                best = sorted(range(len(at)), key=lambda i: -scores[i])[:top]
-                rows += [(asked, int(ids[at[i]]), int(scores[i])) for i in best if scores[i] >= threshold]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = np.where((thresholds > 0) & (reach > 0), thresholds / reach, 0.0)
+                steep = least >= COORDINATE_COSINE * lengths[0]
+            if wanted.size and not _exact(wanted, points):
+                steep[:] = True
+            # Vectors lie longest first: of each query the front that is long enough, queries with like fronts together.
+            fronts = np.searchsorted(-lengths, -least / (1 + SLACK), side="right")
+            level = np.flatnonzero(~steep)
+            level = level[np.argsort(fronts[level], kind="stable")]
+            for start in range(0, len(level), SCORED_AT_ONCE):
+                part = level[start : start + SCORED_AT_ONCE]
+                front = fronts[part].max()
+                if front:
+                    rows += _best(asked[part], ids[:front], products(wanted[part], points[:front]), thresholds[part], top)
+            units = points / np.where(lengths > 0, lengths, 1.0)[:, None] if steep.any() else points
+            for i in np.flatnonzero(steep):
+                at = candidates(wanted[i], reach[i], thresholds[i], points, lengths, units)
+                at = at[ids[at] != asked[i]]
+                at = at[np.argsort(ids[at], kind="stable")]
+                scores = products(wanted[i][None], points[at])[0]
+                best = sorted(range(len(at)), key=lambda j: -scores[j])[:top]
+                rows += [(asked[i], int(ids[at[j]]), int(scores[j])) for j in best if scores[j] >= thresholds[i]]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run

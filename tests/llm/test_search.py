@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 
 from railwatch.llm import ann, exact_search, queries
 
@@ -66,6 +69,23 @@ def test_pruning_keeps_all_that_reach_the_threshold():
         assert set(np.flatnonzero(products >= threshold)) <= set(kept)
 
 
+def test_queries_of_a_block_are_scored_together(monkeypatch):
+    rng, calls, real = np.random.default_rng(9), [], exact_search.products
+    points = np.floor(rng.normal(size=(500, 16)) * 50)
+    lengths = np.sqrt((points**2).sum(axis=1))
+    entries = pd.DataFrame({"vec_id": np.arange(500), "v": list(points), "length": lengths})
+    scores = points[:200] @ points.T
+    np.fill_diagonal(scores, -np.inf)
+    thresholds = -np.sort(-scores, axis=1)[:, 20]
+    queries = pd.DataFrame({"query_id": np.arange(200), "v": list(points[:200]), "length": lengths[:200], "threshold": thresholds})
+    monkeypatch.setattr(exact_search, "products", lambda a, b: calls.append(1) or real(a, b))
+    monkeypatch.setattr(exact_search, "COORDINATE_COSINE", 2.0)
+    got = exact_search._verified(SimpleNamespace(value=(16,)), 5)(entries, queries)
+    order = [(q, int(i), int(scores[q, i])) for q in range(200) for i in np.lexsort((np.arange(500), -scores[q]))[:5]]
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(order)
+    assert len(calls) <= 5
+
+
 def test_large_components(spark):
     rows = [(0, [2.0**100, 1.0]), (1, [2.0**100, 0.0]), (2, [-(2.0**100), 0.0]), (3, [2.0**30, 0.0])]
     got = found(exact_search.top_products(vectors(spark, rows)))
