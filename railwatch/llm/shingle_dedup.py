@@ -54,6 +54,8 @@ ORDER_SHARE = 8
 ORDER_SETS = 10_000
 FREQUENT = 3
 FREQUENT_KEPT = 200_000
+# Pairs of one task that looks their texts up.
+PAIRS_AT_ONCE = 5_000
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -81,7 +83,7 @@ def parity_bitmap(found: np.ndarray) -> np.ndarray:
 
 def may_be_similar(size_a: Column, size_b: Column, bits_a: Column, bits_b: Column) -> Column:
     """False only for pairs of sets whose similarity is below TENTHS / 10."""
-    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    apart = sum((F.bit_count(bits_a[i].bitwiseXOR(bits_b[i])) for i in range(BITMAP)), F.lit(0))
     sizes = size_a + size_b
     near = F.least(size_a, size_b) * 10 >= F.greatest(size_a, size_b) * TENTHS
     return near & (apart * (10 + TENTHS) <= sizes * (10 - TENTHS))
@@ -145,16 +147,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(others[keep])], ["node", "to"])
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, to) of ``pairs`` whose sets are similar; only pairs that their bitmaps leave need their texts."""
+def _not_ruled_out(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, to) of ``pairs`` that their bitmaps leave."""
     ends = {c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("node", "to")}
     described = pairs.join(ends["node"], "node").join(ends["to"], "to")
-    pairs = stored(described.filter(may_be_similar(*(F.col(c) for c in ("size_node", "size_to", "bits_node", "bits_to")))).select("node", "to"), "pairs")
-    asked = pairs.select("node").unionByName(pairs.select(F.col("to").alias("node"))).distinct()
+    return described.filter(may_be_similar(*(F.col(c) for c in ("size_node", "size_to", "bits_node", "bits_to")))).select("node", "to")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, to) of ``pairs`` whose sets are similar; only these pairs need their texts."""
+    pairs = stored(pairs, "pairs")
+    tasks = max(1, -(-pairs.count() // PAIRS_AT_ONCE))
+    asked = pairs.select("node").unionByName(pairs.select(F.col("to").alias("node"))).coalesce(tasks).distinct()
     texts = stored(join_small(texts, asked, ["node"], "left_semi"), "asked")
-    both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("to"), F.col("text").alias("other")), "to")
-    rows = both.select("node", "to", "text", "other").repartition("node", "to").sortWithinPartitions("node")
-    return stored(rows.mapInArrow(giving_back(_verified), "node long, to long"), "verified")
+    both = pairs.coalesce(tasks).join(texts, "node").join(texts.select(F.col("node").alias("to"), F.col("text").alias("other")), "to")
+    rows = both.select("node", "to", "text", "other").coalesce(tasks).repartition("node", "to").sortWithinPartitions("node")
+    return stored(rows.mapInArrow(giving_back(_verified), "node long, to long").coalesce(tasks), "verified")
 
 
 def _pairs(a: str, b: str) -> list:
@@ -175,42 +183,48 @@ def _keys_in_common(texts: DataFrame) -> DataFrame:
     return stored(keyed.withColumn("several", several).filter("several").drop("several"), "keyed")
 
 
-def _classed(keyed: DataFrame, links: DataFrame) -> DataFrame:
-    tree = roots(links)
-    return keyed.join(tree, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+def _classed(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    return rows.join(tree, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+
+
+def _grown(tree: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of what the tree so far and more links connect."""
+    return roots(tree.withColumnRenamed("root", "to").unionByName(links))
 
 
-def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, to): links that connect all similar nodes."""
+def _linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of what links between similar nodes connect."""
     of_print = nodes.groupBy("print").agg(F.min("node").alias("first"))
     alike = nodes.select("node", "print").join(of_print, "print").filter("node <> first").select(*_pairs("node", "first"))
     near = simhash.near_links(of_print.select("print")).select("node", "to").distinct()
     near = near.join(of_print.select(F.col("print").alias("node"), F.col("first").alias("a")), "node")
     near = near.join(of_print.select(F.col("print").alias("to"), F.col("first").alias("b")), "to")
-    links = _verify(alike.unionByName(near.select(*_pairs("a", "b"))).distinct(), nodes, texts)
+    tree = roots(_verify(_not_ruled_out(alike.unionByName(near.select(*_pairs("a", "b"))).distinct(), nodes), texts))
 
     keyed = _keys_in_common(texts)
     for turn, places in enumerate(ROUNDS):
-        classed = _classed(keyed if places is None else keyed.filter(F.col("place") < places), links)
+        classed = _classed(keyed if places is None else keyed.filter(F.col("place") < places), tree)
         # The leader of a shingle is the node with the least hash of this turn.
         led = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("hash"), "node", "class", "size"))
         leaders = classed.groupBy("key").agg(led.alias("leader"))
         met = classed.join(leaders, "key").filter("class <> leader.class")
         met = met.filter(F.least("size", "leader.size") * 10 >= F.greatest("size", "leader.size") * TENTHS)
-        links = links.unionByName(_verify(met.select(*_pairs("node", "leader.node")).distinct(), nodes, texts))
+        met = met.select(*_pairs("node", "leader.node")).distinct()
+        tree = _grown(tree, _verify(_not_ruled_out(met, nodes), texts))
 
-    classed = stored(_classed(keyed, links), "classed")
+    classed = stored(_classed(keyed, tree), "classed")
     # Keys whose nodes are one class have nothing left to compare.
     mixed = classed.groupBy("key").agg((F.min("class") < F.max("class")).alias("mixed")).filter("mixed").select("key")
-    left = classed.join(mixed, "key")
+    # Pairs grow with the square of those under a key, so the bitmaps come with the rows: only pairs that they leave are made.
+    left = classed.join(mixed, "key", "left_semi").join(nodes.select("node", "bits"), "node")
     a, b = left.alias("a"), left.alias("b")
     sizes = F.col("a.size") + F.col("b.size")
     # Under the first shingle in common, only it and those behind it can be shared.
     most = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
     rest = a.join(b, F.col("a.key") == F.col("b.key")).filter("a.node < b.node and a.class <> b.class")
-    rest = rest.filter(F.least("a.size", "b.size") * 10 >= F.greatest("a.size", "b.size") * TENTHS)
     rest = rest.filter(most * (10 + TENTHS) >= sizes * TENTHS)
-    return links.unionByName(_verify(rest.select(F.col("a.node").alias("node"), F.col("b.node").alias("to")).distinct(), nodes, texts))
+    rest = rest.filter(may_be_similar(*(F.col(c) for c in ("a.size", "b.size", "a.bits", "b.bits"))))
+    return _grown(tree, _verify(rest.select(F.col("a.node").alias("node"), F.col("b.node").alias("to")).distinct(), texts))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -228,7 +242,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     chosen = stored(chosen.select("node", "print", "least.*"), "chosen")
     packed = rows.mapInArrow(giving_back(_compressed), "row long, mark long, text binary")
     texts = stored(packed.join(chosen.select("row", "mark", "node"), ["row", "mark"]).dropDuplicates(["row", "mark"]).select("node", "text"), "texts")
-    classes = _classed(chosen, _links(chosen.select("node", "print", "size", "bits"), texts))
+    classes = _classed(chosen, _linked(chosen.select("node", "print", "size", "bits"), texts))
     least = classes.groupBy("class").agg(F.min(F.struct("row", "mark")).alias("least"))
     least = least.select(F.col("least.row").alias("_row"), F.col("least.mark").alias("_mark"))
     return keyed.join(least, ["_row", "_mark"], "left_semi").dropDuplicates(["_row", "_mark"]).select(*docs.columns)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from railwatch.functions import components as links_of
 from railwatch.functions.components import roots
 from railwatch.llm import golay, queries, simhash
 from tests.llm.brute import components, documents, fingerprint
@@ -76,6 +77,14 @@ def test_chain_has_one_root(spark):
     assert got == {**{i: 0 for i in range(1, 51)}, 101: 100}
 
 
+def test_stars_are_left_after_one_round(spark, monkeypatch):
+    written, real = [], links_of.stored
+    monkeypatch.setattr(links_of, "stored", lambda df, name: written.append(name) or real(df, name))
+    links = spark.createDataFrame([(0, i) for i in range(1, 20)], "node long, to long")
+    assert {r.node: r.root for r in roots(links).collect()} == {i: 0 for i in range(1, 20)}
+    assert len(written) == 2
+
+
 def test_equals_brute_force(spark):
     r = random.Random(4)
     base = [f"w{r.randrange(500)}" for _ in range(120)]
