@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from flat_clusters import flat_clusters
 from railwatch.functions.components import roots
-from railwatch.operators import density, forest, hierarchy, scoring, vectors
+from railwatch.operators import density, forest, hierarchy, neighbours, scoring, vectors
 from railwatch.session import stored
 
 VECTORS = "snapshot_id string, tenant_bank_id string, segment string, split string, x array<double>"
@@ -89,6 +89,64 @@ def test_distances_and_tree_equal_brute_force(spark, block_rows):
     assert weights == pytest.approx(sorted(w for w, _, _ in edges))
 
 
+@pytest.mark.parametrize("block_rows", [8000, 400])
+def test_tree_of_clumps_equals_brute_force(spark, block_rows):
+    """More than the neighbours of a point lie in its own clump, so the tree needs edges that no neighbour list holds."""
+    random = np.random.default_rng(21)
+    centres = random.uniform(-3, 3, (70, 4))
+    points = (centres[:, None] + random.normal(0, 1e-9, (70, 30, 4))).reshape(-1, 4)
+    points = np.r_[points, random.uniform(-4, 4, (40, 4)), [[90.0, 0, 0, 0]]]
+    core, _ = brute(points)
+    distinct = stored(density.distinct_points(frame(spark, points).drop("split")), "points")
+    placed, boxes = density.placed_points(distinct, block_rows)
+    assert boxes.count() == -(-len(points) // block_rows)
+    cored = density.core_distances(placed, boxes)
+    got = {r.point_id: r.core for r in cored.collect()}
+    assert np.allclose([got[f"T{i:04d}"] for i in range(len(points))], core, rtol=1e-9, atol=0)
+    edges = density.candidate_edges(cored, boxes).collect()
+    tops = {name: name for name in got}
+    for edge in edges:
+        tops[_top(tops, edge.u)] = _top(tops, edge.v)
+    assert len({_top(tops, name) for name in got}) == 1 and len(edges) == len(points) - 1
+    assert np.allclose(sorted(r.w for r in edges), _tree_weights(points, core), rtol=1e-9, atol=0)
+
+
+def _top(tops, name):
+    while tops[name] != name:
+        name = tops[name]
+    return name
+
+
+def _tree_weights(points, core):
+    """Weights of the spanning tree, by adding the nearest point each time."""
+    best, done, weights = np.full(len(points), np.inf), np.zeros(len(points), bool), []
+    at = 0
+    for _ in range(len(points) - 1):
+        done[at] = True
+        apart = np.sqrt(((points - points[at]) ** 2).sum(axis=1))
+        best = np.minimum(best, np.maximum(apart, np.maximum(core, core[at])))
+        at = int(np.where(done, np.inf, best).argmin())
+        weights.append(best[at])
+    return sorted(weights)
+
+
+def test_neighbours_are_found_without_comparing_all():
+    random = np.random.default_rng(22)
+    points = random.normal(size=(20_000, 3))
+    held = neighbours.tree(points)
+    looked_at = []
+    inner = neighbours._within
+    neighbours._within = lambda q, o, r: looked_at.append(len(q) * len(o)) or inner(q, o, r)
+    try:
+        i, j, d = neighbours.nearest(points, np.full(len(points), np.inf), points, np.arange(len(points)), 16)
+    finally:
+        neighbours._within = inner
+    assert sum(looked_at) < len(points) ** 2 / 10 and len(held.starts) > 300
+    some = random.integers(0, len(points), 50)
+    expected = np.sort(np.sqrt(((points[some][:, None] - points[None]) ** 2).sum(-1)), axis=1)[:, :16]
+    assert np.allclose(d.reshape(-1, 16)[some], expected) and (i == np.repeat(np.arange(len(points)), 16)).all()
+
+
 def clusters(spark, points, **options):
     found = density.density_clusters(frame(spark, points).drop("split"), **options)
     return {r.snapshot_id: r.cluster_id for r in found.collect()}
